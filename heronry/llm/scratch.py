@@ -7,12 +7,14 @@ as in tests, a temporary folder takes its place.
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,15 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast of value, to be read by shared(): its class travels along."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(held: Broadcast) -> object:
+    return pickle.loads(held.value)
+
+
 def n_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -121,14 +121,15 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, both: int = BOTH, blocks
         raise ValueError("too few blocks: a shard's tree would not stay small enough to broadcast")
     shard_values = prints.select(F.explode(F.array(*(F.shiftrightunsigned("h1", shift).bitwiseAND((1 << width) - 1) + (k << 20) for k, (shift, width) in enumerate(shapes)))).alias("v")).distinct()
     values = np.array([r.v for r in shard_values.collect()], np.int64)  # at most blocks * 2 ** 16, whatever the input
-    trees = spark.sparkContext.broadcast([BKTree(values[values >> 20 == k] & 0xFFFFF) for k in range(blocks)])
+    trees = scratch.share(spark, [BKTree(values[values >> 20 == k] & 0xFFFFF) for k in range(blocks)])
 
     def emit(batches):
+        forest = scratch.shared(trees)
         for batch in batches:
             h1, h2 = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
             for k, own in enumerate(block_values(h1, blocks)):
                 distinct, inverse = np.unique(own, return_inverse=True)
-                q, near = trees.value[k].within(distinct, reach)
+                q, near = forest[k].within(distinct, reach)
                 near = near.astype(np.int64)
                 ahead = near > distinct[q]
                 q, near = q[ahead], near[ahead]

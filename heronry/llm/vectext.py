@@ -22,6 +22,10 @@ _WORD[128:] = True
 for _lo, _hi in (("a", "z"), ("A", "Z"), ("0", "9")):
     _WORD[ord(_lo) : ord(_hi) + 1] = True
 
+#: bytes other than white space, for words between spaces
+SOLID = np.ones(256, bool)
+SOLID[[9, 10, 11, 12, 13, 32]] = False
+
 #: byte -> its eight bits as eight one-byte counters
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -63,6 +67,13 @@ class Piece:
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
+    sums: np.ndarray
+    down: np.ndarray
+
+    def prefix_hashes(self, words: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the first length bytes of some words, all of which are longer."""
+        start = self.start[words]
+        return mix((self.sums[start + length] - self.sums[start]) * self.down[start], 31)
 
     def text(self, start: int, end: int) -> str:
         return self.data[start:end].tobytes().decode("utf-8", "replace")
@@ -102,13 +113,13 @@ class _Powers:
         return self.up, self.down
 
 
-def pieces(texts: pa.Array, limit: int = PIECE, lower: bool = True) -> Iterator[Piece]:
-    """The words of every text, a piece at a time."""
+def pieces(texts: pa.Array, limit: int = PIECE, lower: bool = True, word: np.ndarray = _WORD) -> Iterator[Piece]:
+    """The words (runs of bytes that word tells) of every text, a piece at a time."""
     table = _Powers()
-    for first, data, offsets in _slices(lowered(texts) if lower else pc.fill_null(texts, ""), limit):
+    for first, data, offsets in _slices(lowered(texts) if lower else pc.fill_null(texts.cast(pa.large_string()), ""), limit):
         n = len(data)
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = _WORD[data]
+        inside[1:-1] = word[data]
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
         start = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
@@ -118,7 +129,7 @@ def pieces(texts: pa.Array, limit: int = PIECE, lower: bool = True) -> Iterator[
         np.cumsum((data.astype(np.uint64) + U(1)) * up[:n], out=sums[1:])
         hashes = mix((sums[end] - sums[start]) * down[start])
         row = np.searchsorted(offsets, start, "right") - 1
-        yield Piece(first, len(offsets) - 1, data, offsets, row, start, end, hashes)
+        yield Piece(first, len(offsets) - 1, data, offsets, row, start, end, hashes, sums, down)
 
 
 def starts_of(sorted_ids: np.ndarray) -> np.ndarray:
