@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _BLOB = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: a packed record batch stays below this many bytes
 BLOB_BYTES = 4 << 20
 
@@ -34,10 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame) -> DataFrame:
-    """df, written once and read again."""
+    """df, written once and read again. Shuffle files that led to it are freed at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/heronry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -91,3 +97,38 @@ def shuffle(
             yield from reduce(np.concatenate(held))
 
     return df.mapInArrow(scatter, "part int, blob binary").repartition(n, F.col("part")).mapInArrow(collect, schema)
+
+
+def fold(values: np.ndarray, widths: tuple[int, ...]) -> bytes:
+    """Columns (a 2-d array of 64-bit values, one row a column; the first non-decreasing) as bytes that
+    compress well: the first as differences, each in planes of its bytes, up to its width in bytes."""
+    n = values.shape[1]
+    columns = values.copy()
+    columns[0, 1:] -= values[0, :-1]
+    planes = [np.ascontiguousarray(columns[c].view(np.uint8).reshape(n, 8)[:, :w].T) for c, w in enumerate(widths)]
+    return np.uint64(n).tobytes() + b"".join(p.tobytes() for p in planes)
+
+
+def unfold(blob: np.ndarray, widths: tuple[int, ...]) -> np.ndarray:
+    n = int(blob[:8].view(np.uint64)[0])
+    out = np.zeros((len(widths), n, 8), np.uint8)
+    at = 8
+    for c, w in enumerate(widths):
+        out[c, :, :w] = blob[at : at + w * n].reshape(w, n).T
+        at += w * n
+    out = out.reshape(len(widths), -1).view(np.uint64).reshape(len(widths), n)
+    np.cumsum(out[0], out=out[0])
+    return out
+
+
+def fold_parts(key: np.ndarray, columns: tuple[np.ndarray, ...], widths: tuple[int, ...], n: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, folded columns): part is mix(key) modulo n; inside a part rows are ordered by the columns."""
+    part = key % np.uint64(n)
+    order = np.lexsort((*reversed(columns[:2]), part))
+    part = part[order]
+    values = np.stack([c[order] for c in columns]).astype(np.uint64)
+    heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    ends = np.append(heads[1:], len(part))
+    for lo in range(0, len(heads), 64):
+        pairs = list(zip(heads[lo : lo + 64].tolist(), ends[lo : lo + 64].tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array(part[[a for a, _ in pairs]].astype(np.int32)), pa.array([fold(values[:, a:b], widths) for a, b in pairs], pa.binary())], schema=_BLOB)
