@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronry.llm import line_dedup, mixing, neighbour_votes, packing, piece_counts, quality, simhash_dedup, span_hashes, token_blocks
+from heronry.llm import katz, line_dedup, mixing, neighbour_votes, packing, piece_counts, quality, simhash_dedup, span_hashes, token_blocks
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_source_mix": lambda s, d: mixing.mix(documents(s, d)),
+        "op2_katz_scores": lambda s, d: katz.katz_scores(documents(s, d)),
         "op3_rule_ledger": lambda s, d: quality.ledger(documents(s, d)),
         "rule_ablation": lambda s, d: quality.ablation(quality.ledger(documents(s, d))),
         "op4_span_hashes": lambda s, d: span_hashes.spans(documents(s, d), table(s, d, "benchmark")),
