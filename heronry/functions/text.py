@@ -116,5 +116,6 @@ def _slot(token: Column, dim: int, hashed: str) -> Column:
 def hashed_vector(text: Column, dim: int = 128, hashed: str = "crc32") -> Column:
     """Presence of tokens hashed by crc32 or md5; a text without tokens is 1e-6 everywhere."""
     slots = F.array_distinct(F.transform(tokens(text), lambda t: _slot(t, dim, hashed)))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.array_contains(slots, k.cast("long")).cast("float"))
-    return F.when(F.size(slots) == 0, F.array_repeat(F.lit(1e-6).cast("float"), dim)).otherwise(vector)
+    # as a lambda's variable the slots are found once, not once for each place of the vector
+    spread = lambda s: F.when(F.size(s) == 0, F.array_repeat(F.lit(1e-6).cast("float"), dim)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.array_contains(s, k.cast("long")).cast("float")))
+    return F.element_at(F.transform(F.array(slots), spread), 1)

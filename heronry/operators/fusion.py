@@ -93,7 +93,7 @@ def rankings(**lists: DataFrame) -> DataFrame:
 
 
 def rrf(ranked: DataFrame, names: list[str], k: int = RRF_K) -> DataFrame:
-    """(query_id, id, rrf, one column a retriever, rank): the sum of 1 / (k + rank + 1), to 5 decimals. Equal
+    """(query_id, id, rrf, a score and a rank for each retriever, rank): the sum of 1 / (k + rank + 1), to 5 decimals. Equal
     sums keep the order of first mention: the first retriever's ranking, then what only later ones found."""
     one = ranked.groupBy("query_id", "id").agg(
         F.round(F.sum(1 / (k + F.col("rank") + 1)), 5).alias("rrf"),
@@ -102,7 +102,7 @@ def rrf(ranked: DataFrame, names: list[str], k: int = RRF_K) -> DataFrame:
     )
     order = [F.desc("rrf"), *(F.asc_nulls_last(f"{n}_rank") for n in names), F.col("id")]
     place = (F.row_number().over(W.partitionBy("query_id").orderBy(*order)) - 1).cast("long")
-    return one.withColumn("rank", place).select("query_id", "id", "rrf", *names, "rank")
+    return one.withColumn("rank", place)
 
 
 def gate(fused: DataFrame, k: int, mode: str) -> DataFrame:
@@ -113,35 +113,40 @@ def gate(fused: DataFrame, k: int, mode: str) -> DataFrame:
 _LONG = ["query_id", "stage", "rank", "id", "score", "dense", "bm25", "rrf", "rerank"]
 
 
-def _long(df: DataFrame, stage: str, score: Column) -> DataFrame:
-    have = set(df.columns)
-    values = [(F.col(c).cast("double") if c in have else F.lit(None).cast("double")).alias(c) for c in _LONG[5:]]
-    return df.select("query_id", F.lit(stage).alias("stage"), "rank", "id", score.cast("double").alias("score"), *values)
+def _stage(name: str, rank: Column, score: Column, when: Column, keep: tuple[str, ...]) -> Column:
+    values = [(F.col(c) if c in keep else F.lit(None)).cast("double").alias(c) for c in _LONG[5:]]
+    return F.when(when, F.struct(F.lit(name).alias("stage"), rank.cast("long").alias("rank"), "id", score.cast("double").alias("score"), *values))
+
+
+def _stages(df: DataFrame, *stages: Column) -> DataFrame:
+    listed = df.select("query_id", F.explode(F.filter(F.array(*stages), lambda s: s.isNotNull())).alias("s"))
+    return listed.select("query_id", "s.*")
 
 
 def trace(dense_hits: DataFrame, bm25_hits: DataFrame, k: int = K, mode: str = "off", pool: int = POOL, reranker=None) -> DataFrame:
     """Every stage of a hybrid search in long form: (query_id, stage, rank, id, score, dense, bm25, rrf, rerank).
 
-    reranker takes candidates (query_id, id, rrf, dense, bm25, rank) below the pool size and returns them with
-    a new rank and a rerank score. Scores stay those of the fusion; the order is rank."""
+    Each hit of a retriever is a row of the fusion, with its score and rank there, so all stages are unfolded from
+    one table and each retriever runs once. reranker takes candidates (query_id, id, rrf, dense, bm25, rank) below
+    the pool size and returns them with a new rank and a rerank score. Scores stay those of the fusion; the order
+    is rank. A query is reranked iff it has more than k candidates."""
     fused = rrf(rankings(dense=dense_hits, bm25=bm25_hits), ["dense", "bm25"])
-    stages = [
-        _long(dense_hits.withColumn("dense", F.col("score")), "dense", F.col("dense")),
-        _long(bm25_hits.withColumn("bm25", F.col("score")), "bm25", F.col("bm25")),
-        _long(fused, "fused", F.col("rrf")),
-    ]
-    final = fused
-    if mode != "off" and reranker is not None:
-        opened = gate(fused, k, mode)
-        flagged = fused.join(opened.select("query_id", F.col("rerank").alias("opened")), "query_id")
-        reranked = reranker(flagged.where("opened").where(F.col("rank") < pool).drop("opened"))
-        stages.append(_long(reranked, "reranked", F.col("rrf")))
-        final = flagged.where("not opened").drop("opened").withColumn("rerank", F.lit(None).cast("double")).unionByName(reranked.select("query_id", "id", "rrf", "dense", "bm25", "rank", "rerank"))
-    stages.append(_long(final.where(F.col("rank") < k), "final", F.col("rrf")))
-    out = stages[0]
-    for s in stages[1:]:
-        out = out.unionByName(s)
-    return out
+    reranking = mode != "off" and reranker is not None
+    opened = (F.count("*").over(W.partitionBy("query_id")) > k) & F.lit(reranking)
+    fused = fused.withColumn("opened", opened)
+    rank, rrf_ = F.col("rank"), F.col("rrf")
+    out = _stages(
+        fused,
+        _stage("dense", F.col("dense_rank"), F.col("dense"), F.col("dense_rank").isNotNull(), ("dense",)),
+        _stage("bm25", F.col("bm25_rank"), F.col("bm25"), F.col("bm25_rank").isNotNull(), ("bm25",)),
+        _stage("fused", rank, rrf_, F.lit(True), ("dense", "bm25", "rrf")),
+        _stage("final", rank, rrf_, (rank < k) & ~F.col("opened"), ("dense", "bm25", "rrf")),
+    )
+    if not reranking:
+        return out
+    reranked = reranker(fused.where("opened").where(rank < pool).select("query_id", "id", "rrf", "dense", "bm25", "rank"))
+    every = ("dense", "bm25", "rrf", "rerank")
+    return out.unionByName(_stages(reranked, _stage("reranked", rank, rrf_, F.lit(True), every), _stage("final", rank, rrf_, rank < k, every)))
 
 
 def hybrid(records: DataFrame, index: Index, queries: DataFrame, k: int = K, dense_k: int = DENSE_K, bm25_k: int = BM25_K, scoped: bool = False, **how) -> DataFrame:

@@ -1,9 +1,9 @@
 """Okapi BM25 over a corpus, for many queries at once.
 
-build() writes nothing by itself: it gives the index as DataFrames that a store keeps as Parquet. search()
-broadcasts the terms of the queries while they are few (their size is checked) and joins them by a shuffle
-otherwise; only postings of query terms reach the scoring join, and the scores of a query are cut to its
-top k before they are ordered.
+build() gives the index as DataFrames, to be kept by persist() or as Parquet, or used once. search() broadcasts
+the terms of the queries while they are few (their number is checked) and joins them by a shuffle otherwise; only
+postings of query terms reach the scoring join, and the scores of a query are cut to its top k before they are
+ordered.
 """
 
 from __future__ import annotations
@@ -28,6 +28,11 @@ class Index:
     postings: DataFrame
     terms: DataFrame
     totals: DataFrame
+    scoped: bool = False
+
+    def total(self) -> DataFrame:
+        """totals to join with: a single row, unless there are scopes."""
+        return self.totals if self.scoped else F.broadcast(self.totals)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -45,7 +50,7 @@ def build(records: DataFrame, scope: Column | None = None) -> Index:
     order = F.col("ord") if "ord" in records.columns else F.col("id")
     rows = records.select((F.lit(0) if scope is None else scope).alias("scope"), "id", order.alias("ord"), "text", F.size(T.tokens(F.col("text"))).cast("long").alias("dl"))
     postings = term_frequencies(rows, "scope", "id", "ord", "dl")
-    return Index(postings, postings.groupBy("scope", "term").agg(F.count("*").alias("df")), rows.groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+    return Index(postings, postings.groupBy("scope", "term").agg(F.count("*").alias("df")), rows.groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), scope is not None)
 
 
 def query_terms(queries: DataFrame, *carried: str) -> DataFrame:
@@ -53,21 +58,22 @@ def query_terms(queries: DataFrame, *carried: str) -> DataFrame:
     return queries.select("query_id", *carried, F.explode(T.tokens(F.col("query"))).alias("term")).groupBy("query_id", *carried, "term").agg(F.count("*").alias("qf"))
 
 
-def _small(df: DataFrame, limit: int) -> DataFrame:
-    """df with a broadcast hint, if it has at most limit rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def scores(index: Index, queries: DataFrame, k1: float = K1, b: float = B, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(query_id, scope, id, ord, score) of every record that shares a term with a query; score to 4 decimals.
-    A query with a scope column is held against the records of that scope only."""
-    scoped = "scope" in queries.columns
-    asked = query_terms(queries, *(["scope"] if scoped else []))
-    on = ["scope", "term"] if scoped else ["term"]
-    weighted = index.terms.join(F.broadcast(index.totals), "scope").join(_small(asked.select(*on).distinct(), broadcast_terms), on, "left_semi").select("scope", "term", idf(F.col("n"), F.col("df")).alias("idf"), F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl")).alias("avgdl"))
-    terms = weighted.join(asked, on).select("query_id", "scope", "term", "qf", "idf", "avgdl")
+    A query with a scope column is held against the records of that scope only.
+
+    Postings of other terms are dropped below the index's own aggregation, and document frequencies come from the
+    postings that are left, which Spark shuffles once for both."""
+    on = ["scope", "term"] if "scope" in queries.columns else ["term"]
+    asked = query_terms(queries, *on[:-1])
+    hint = F.broadcast if asked.limit(broadcast_terms + 1).count() <= broadcast_terms else (lambda df: df)
+    postings = index.postings.join(hint(asked.select(*on).distinct()), on, "left_semi")
+    # a count that looks at tf, so that its input is the one of the scoring join
+    df = postings.groupBy("scope", "term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
+    weighted = df.join(index.total(), "scope").select("scope", "term", idf(F.col("n"), F.col("df")).alias("idf"), F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl")).alias("avgdl"))
+    terms = weighted.join(hint(asked), on).select("query_id", "scope", "term", "qf", "idf", "avgdl")
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    met = index.postings.join(_small(terms, broadcast_terms), ["scope", "term"])
+    met = postings.join(hint(terms), ["scope", "term"])
     return met.groupBy("query_id", "scope", "id", "ord").agg(F.round(F.sum(part), 4).alias("score")).where("score > 0")
 
 

@@ -91,7 +91,7 @@ def corpus_stats(spark, sf_dir):
 @query(f"WITH t AS (SELECT DISTINCT doc_id, unnest({_TOK.of('text')}) AS term FROM documents) SELECT term, count(*)::BIGINT AS df, round(ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM t GROUP BY term")
 def df_idf(spark, sf_dir):
     index = lexical.build(_records(spark, sf_dir))
-    return index.terms.join(F.broadcast(index.totals), "scope").select("term", "df", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    return index.terms.join(index.total(), "scope").select("term", "df", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query(f"SELECT doc_id, (ord - 1)::BIGINT AS ord, sentence FROM (SELECT doc_id, unnest(s) AS sentence, unnest(range(1, len(s) + 1)) AS ord FROM (SELECT doc_id, {_SENTENCES.of('text')} AS s FROM documents WHERE text IS NOT NULL))")
@@ -276,14 +276,11 @@ def rerank_listing(spark, sf_dir):
     return rerank.listings(_pool(spark, sf_dir).join(texts, "id"))
 
 
-_REPLY = "query_id % 40, 3, 99, 3, query_id % 7, 0"
-
-
 @query(f"""WITH {_RANKED},
-m0 AS (SELECT query_id, unnest([query_id % 40, 3, 99, 3, query_id % 7, 0]) AS rank, unnest(range(0, 6)) AS at FROM (SELECT DISTINCT query_id FROM qf)),
-m AS (SELECT query_id, rank, min(at) AS at FROM m0 GROUP BY ALL),
-o AS (SELECT bm.query_id, id, score AS bm25, at, row_number() OVER (PARTITION BY bm.query_id ORDER BY at ASC NULLS LAST, bm.rank) AS place FROM bm LEFT JOIN m USING (query_id, rank) WHERE bm.rank < 30)
-SELECT query_id, id, bm25, (place - 1)::BIGINT AS rank, CASE WHEN at IS NOT NULL THEN round(1 / place::DOUBLE, 4) END AS rerank FROM o""")
+m0 AS (SELECT query_id, unnest([query_id % 40, 3, 99, 3, query_id % 7, 0]) AS rank, unnest(range(0, 6)) AS pos FROM (SELECT DISTINCT query_id FROM qf)),
+m AS (SELECT query_id, rank, min(pos) AS pos FROM m0 GROUP BY ALL),
+o AS (SELECT bm.query_id, id, score AS bm25, pos, row_number() OVER (PARTITION BY bm.query_id ORDER BY pos ASC NULLS LAST, bm.rank) AS place FROM bm LEFT JOIN m USING (query_id, rank) WHERE bm.rank < 30)
+SELECT query_id, id, bm25, (place - 1)::BIGINT AS rank, CASE WHEN pos IS NOT NULL THEN round(1 / place::DOUBLE, 4) END AS rerank FROM o""")
 def rerank_apply_order(spark, sf_dir):
     reply = F.concat_ws(", ", (F.col("query_id") % 40).cast("string"), F.lit("3, 99, 3"), (F.col("query_id") % 7).cast("string"), F.lit("0"))
     return rerank.by_reply(_pool(spark, sf_dir), _questions(spark, sf_dir).select("query_id", reply.alias("reply")))
@@ -291,8 +288,8 @@ def rerank_apply_order(spark, sf_dir):
 
 @query(f"""WITH {_RANKED},
 m0 AS (SELECT query_id, unnest([2, query_id % 30, 99, -1, 0]) AS rank, unnest([0.9, 0.8, 0.75, 0.7, 0.1]::DOUBLE[]) AS rel, unnest(range(0, 5)) AS pos FROM (SELECT DISTINCT query_id FROM qf)),
-m AS (SELECT query_id, rank, min(pos) AS at, round(arg_max(rel, pos), 4) AS rerank FROM m0 GROUP BY ALL),
-o AS (SELECT bm.query_id, id, score AS bm25, rerank, row_number() OVER (PARTITION BY bm.query_id ORDER BY at ASC NULLS LAST, bm.rank) AS place FROM bm LEFT JOIN m USING (query_id, rank) WHERE bm.rank < 30)
+m AS (SELECT query_id, rank, min(pos) AS pos, round(arg_max(rel, m0.pos), 4) AS rerank FROM m0 GROUP BY ALL),
+o AS (SELECT bm.query_id, id, score AS bm25, rerank, row_number() OVER (PARTITION BY bm.query_id ORDER BY pos ASC NULLS LAST, bm.rank) AS place FROM bm LEFT JOIN m USING (query_id, rank) WHERE bm.rank < 30)
 SELECT query_id, id, bm25, (place - 1)::BIGINT AS rank, rerank FROM o""")
 def rerank_endpoint_apply(spark, sf_dir):
     response = F.format_string('{"results":[{"index":2,"relevance_score":0.9},{"index":%d,"relevance_score":0.8},{"index":99,"relevance_score":0.75},{"index":-1,"relevance_score":0.7},{"index":0,"relevance_score":0.1}]}', F.col("query_id") % 30)
