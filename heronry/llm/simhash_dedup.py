@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             none[signs] = False
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.view(np.int64), mask=none) for x in h)], ["doc_id", "sig", "h1", "h2"])
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"), "text", F.coalesce(F.trim(F.regexp_replace(F.substring("text", 1, 1000), r"\s+", "")) == "", F.lit(True)).alias("blank"))
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"), "text", F.coalesce(~F.col("text").rlike(r"\S"), F.lit(True)).alias("blank"))
     return cols.mapInArrow(run, "doc_id long, sig long, h1 long, h2 long")
 
 
@@ -119,6 +119,7 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, both: int = BOTH, blocks
     reach, shapes = radius // blocks, block_edges(blocks)
     if max(width for _, width in shapes) > 16:
         raise ValueError("too few blocks: a shard's tree would not stay small enough to broadcast")
+    prints = prints.select("h1", "h2").where("h1 is not null")
     shard_values = prints.select(F.explode(F.array(*(F.shiftrightunsigned("h1", shift).bitwiseAND((1 << width) - 1) + (k << 20) for k, (shift, width) in enumerate(shapes)))).alias("v")).distinct()
     values = np.array([r.v for r in shard_values.collect()], np.int64)  # at most blocks * 2 ** 16, whatever the input
     trees = scratch.share(spark, [BKTree(values[values >> 20 == k] & 0xFFFFF) for k in range(blocks)])
@@ -169,7 +170,7 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, both: int = BOTH, blocks
         x, y = star_edges(len(nodes), a, b)
         yield pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], ["a", "b"])
 
-    return scratch.shuffle(prints.select("h1", "h2").where("h1 is not null").distinct(), emit, _NODE, reduce, "a long, b long")
+    return scratch.shuffle(prints.distinct(), emit, _NODE, reduce, "a long, b long")
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, both: int = BOTH, blocks: int = BLOCKS) -> DataFrame:
