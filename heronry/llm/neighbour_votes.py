@@ -162,17 +162,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, m
     shares = clean.agg(F.avg("quality"), F.avg("toxic")).first()
     if shares[0] is None:
         return None, None
+    # the row number alone in its window: rows beyond per_class are dropped before the shuffle
     order = F.row_number().over(W.partitionBy("quality", "toxic").orderBy(F.xxhash64("l_id"), "l_id"))
-    size = F.count("*").over(W.partitionBy("quality", "toxic"))
-    sample = clean.withColumn("place", order).withColumn("size", size).where(F.col("place") <= per_class)
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).dropDuplicates(["doc_id"]).select("doc_id", "text", "quality", "toxic", "size")  # per_class rows a class at most
-    table = pa.Table.from_batches(held.toArrow().to_batches()) if hasattr(held, "toArrow") else pa.Table.from_pandas(held.toPandas())
-    table = table.sort_by("doc_id").combine_chunks()
+    sample = clean.withColumn("place", order).where(F.col("place") <= per_class)
+    size = {(r.quality, r.toxic): r.n for r in clean.groupBy("quality", "toxic").agg(F.count("*").alias("n")).collect()}
+    # of documents that share a doc_id, the text that comes first; per_class rows a class at most
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "quality", "toxic")
+    table = held.toArrow().sort_by("doc_id").combine_chunks()
     if not table.num_rows:
         return None, tuple(shares)
     lab = np.stack([table.column(k).to_numpy() for k in ("quality", "toxic")], axis=1)
     kind = lab[:, 0] * 2 + lab[:, 1]
-    stands_for = table.column("size").to_numpy() / np.bincount(kind)[kind]
+    stands_for = np.array([size[tuple(x)] for x in lab.tolist()]) / np.bincount(kind)[kind]
     return Space(table.column("doc_id").to_numpy(), table.column("text").combine_chunks(), lab, stands_for, min_docs, dimensions), tuple(shares)
 
 
