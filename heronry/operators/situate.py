@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from heronry.functions import text as T
 
@@ -116,7 +117,7 @@ def prompts(docs: DataFrame, chunks: DataFrame, doc_cap: int = DOC_CAP, part_tok
 def situate(prompted: DataFrame, provider, concurrency: int = 4) -> DataFrame:
     """Adds context, embed_text and token accounting by a provider's chat. A group's first prompt goes alone, so
     that it fills the provider's prefix cache, and the others side by side."""
-    schema = prompted.schema.add("reply", "string").add("prompt_tokens", "long").add("completion_tokens", "long").add("cached_tokens", "long")
+    schema = StructType([*prompted.schema.fields, StructField("reply", StringType()), *(StructField(c, LongType()) for c in ("prompt_tokens", "completion_tokens", "cached_tokens"))])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         from concurrent.futures import ThreadPoolExecutor

@@ -18,5 +18,9 @@ def incoming(rag: Retrieval, folder: str, max_files: int = 1000) -> DataFrame:
 def ingest_stream(rag: Retrieval, docs: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Ingests a stream of documents. A batch that runs again replaces its documents, so nothing is doubled; the
     checkpoint takes the place of a list of what is done."""
-    writer = docs.writeStream.foreachBatch(lambda batch, _: rag.ingest(batch) and None).option("checkpointLocation", checkpoint)
+
+    def ingest(batch: DataFrame, _: int) -> None:
+        rag.ingest(batch)
+
+    writer = docs.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
