@@ -55,20 +55,20 @@ def by_endpoint(candidates: DataFrame, responses: DataFrame) -> DataFrame:
     return reorder(candidates, first, stamped=True)
 
 
-def request(query, documents, model: str, top_n):
-    """The JSON body for a reranking service."""
-    return F.to_json(F.struct(F.lit(model).alias("model"), query.alias("query"), documents.alias("documents"), top_n.alias("top_n")))
-
-
 def model_reranker(queries: DataFrame, chunks: DataFrame, provider, mode: str = "llm"):
-    """A reranker for fusion.trace(): asks the provider once a query; queries (query_id, query), chunks (id, embed_text)."""
+    """A reranker for fusion.trace(): asks the provider once a query; queries (query_id, query), chunks (id, embed_text).
+    Without a configured service, mode "endpoint" asks the chat model."""
     if mode not in MODES:
         raise ValueError(f"unknown rerank mode {mode!r}; one of {', '.join(MODES)}")
 
     def run(candidates: DataFrame) -> DataFrame:
         seen = candidates.join(chunks.select("id", "embed_text"), "id")
-        asked = listings(seen).join(queries.select("query_id", "query"), "query_id")
-        ask = asked.select("query_id", prompt(F.col("query"), F.col("listing")).alias("prompt"))
+        asked = queries.select("query_id", "query")
+        if mode == "endpoint" and provider.reranks():
+            lists = seen.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "embed_text"))), lambda x: x["embed_text"]).alias("documents"))
+            ask = lists.join(asked, "query_id").select("query_id", provider.rerank_column(F.col("query"), F.col("documents")).alias("response"))
+            return by_endpoint(candidates, ask)
+        ask = listings(seen).join(asked, "query_id").select("query_id", prompt(F.col("query"), F.col("listing")).alias("prompt"))
         return by_reply(candidates, ask.select("query_id", provider.chat_column(F.col("prompt")).alias("reply")))
 
     return run

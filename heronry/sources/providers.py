@@ -71,6 +71,19 @@ class Columns:
 
         return embed.asNondeterministic()(text)
 
+    def reranks(self) -> bool:
+        """Whether a reranking service is configured."""
+        return False
+
+    def rerank_column(self, query: Column, documents: Column) -> Column:
+        me = self
+
+        @F.pandas_udf("string")
+        def ask(queries: pd.Series, lists: pd.Series) -> pd.Series:
+            return pd.Series([me.rerank(q, list(d)) for q, d in zip(queries, lists)], dtype=object)
+
+        return ask.asNondeterministic()(query, documents)
+
     def stream(self, prompt: str) -> Iterator[tuple[str, object]]:
         """("delta", text) events and one ("usage", Reply) at the end."""
         reply = self.chat(prompt)
