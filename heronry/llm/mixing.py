@@ -132,7 +132,7 @@ def mix(docs: DataFrame, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, **t
 
 def mixed(docs: DataFrame, seed: int = SEED, **target) -> DataFrame:
     """The chosen rows of docs with all their columns, a row once for each epoch it is chosen in."""
-    planned = plan(scratch.table(_narrow(docs)), seed, **target)
+    planned = scratch.table(plan(scratch.table(_narrow(docs)), seed, **target))  # as a file, so that the join knows it is small
     rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").alias("source"), n_tokens(F.col("row.text")).alias("n_tokens"))
     return _chosen(rows, planned, seed).select("row.*")
 
