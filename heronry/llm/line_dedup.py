@@ -2,17 +2,21 @@
 
 A line is a part of a text between newlines; normalised, it is its words (see vectext) in lower case,
 separated by single spaces. Lines of MIN_WORDS words or more are compared; shorter and blank ones always
-stay. Two lines are linked iff their SimHashes (64 bits over their words, each as often as it occurs)
-differ in at most RADIUS bits and the edit similarity of the normalised lines,
-1 - Levenshtein / longer length, is at least SIMILARITY; equal normalised lines are linked always. Of
-each connected group the first occurrence by (doc_id, line number) stays.
-
-Plan. Equal lines collapse in one aggregation. Each distinct SimHash is sent to RADIUS + 1 blocks of its
-bits (pigeonhole: close ones agree in a block), pairs inside a block are compared as arrays, and each
-block sends back a spanning forest, so a group of n variants costs n edges. Lines of one group of close
-SimHashes then meet, with their texts, in one place, where pairs not yet connected are verified, nearest
-first; so n true variants take about n edit distances, not n * n, and the outcome is that of verifying
-every pair. Only lines that have a close SimHash have their texts fetched.
+stay. Two lines are linked iff the edit similarity of the normalised lines, 1 - Levenshtein / longer
+length, is at least SIMILARITY. Of each connected group the first occurrence by (doc_id, line number) stays.
+
+Candidates. Linked lines are looked for among those that share one of the KEYS overlapping character
+n-grams of lowest hash (8 bytes for lines of under 64 bytes, 14 for others, both where lines of either
+side may be similar) and whose two SimHashes differ in at most as many bits as GRAMS says: one is of 64 bits
+over their words, each as often as it occurs, one of 64 bits over their 5-grams of bytes. Two lines that have a share J of their n-grams in common are missed with
+odds of about (1 - J) ** KEYS; the README has the measured recall. Lines of fewer bytes than an n-gram are
+compared by equality.
+
+Plan. Equal lines collapse in one aggregation. Each line's SimHash is sent to its KEYS, pairs that share a
+key are compared as arrays, and each key sends back a spanning forest, so a group of n variants costs n
+edges. Lines of one group of candidates then meet, with their texts, in one place, where pairs not yet
+connected are verified, nearest SimHashes first, if the counts of their character pairs allow it; so n
+true variants take about n edit distances, not n * n. Only lines that have a candidate have their texts fetched.
 
 Cases: a null text stays null and has no lines in the result; an empty text has one, empty, line. A null
 doc_id is compared like any other and comes last as an occurrence to keep. Rows that repeat doc_id and
@@ -30,11 +34,13 @@ from pyspark.sql import functions as F
 
 from heronry.llm import scratch, vectext
 from heronry.llm.groups import connected
-from heronry.llm.hamming import block_values, segment_pairs, star_edges
-from heronry.llm.vectext import starts_of
+from heronry.llm.hamming import segment_pairs, star_edges
+from heronry.llm.vectext import U, expand, starts_of
 
-RADIUS, SIMILARITY, MIN_WORDS = 3, 0.8, 5
-_PRINT = np.dtype([("key", "<i4"), ("sh", "<i8")])
+RADIUS, SIMILARITY, MIN_WORDS = 20, 0.8, 5
+#: n-grams that are a line's keys; (bytes of an n-gram, for lines from so many bytes on, up to, bits of the first and second SimHash)
+KEYS, GRAMS = 6, ((8, 0, 64, 20, 17), (14, 64, 1 << 62, 16, 14))
+_PRINT = np.dtype([("key", "<i4"), ("size", "<u2"), ("sh", "<i8"), ("sh5", "<u8")])
 _JOIN_WORDS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
 
@@ -129,22 +135,86 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return _identified(docs).mapInArrow(run, "doc_id long, sig long, line_no int, lh long, sh long")
 
 
-def close_edges(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between SimHashes (column sh) that connect exactly what pairs within radius connect."""
-    m = radius + 1
+def keys(p: vectext.Piece, line: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, ...]:
+    """(key, line) of the lines of p, then (line, characters, SimHash of 5-grams) of each; line tells the line of
+    each word. A key's last bit tells which of GRAMS it is."""
+    size = p.end - p.start
+    at = np.cumsum(size + 1) - size - 1
+    text = np.full(int((size + 1).sum()), 32, np.uint8)
+    text[expand(at, size)] = p.data[expand(p.start, size)]
+    up, down = (vectext.powers(x, len(text) + 1) for x in (vectext._BASE, vectext._BASE_INVERSE))
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + U(1)) * up[:-1], out=sums[1:])
+    chars = np.append(0, np.cumsum(text & 0xC0 != 0x80))
+    heads = starts_of(line)
+    begin, end = at[heads], np.append(at[heads[1:]], len(text))[: len(heads)] - 1
+    length, found = end - begin, [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+
+    def hashes(start: np.ndarray, n: int) -> np.ndarray:
+        return vectext.mix((sums[start + n] - sums[start]) * down[start], n)
+
+    for kind, (n, least, most, *_) in enumerate(GRAMS):
+        some = np.flatnonzero((length >= n) & (length / similarity >= least) & (length * similarity < most))
+        if not len(some):
+            continue
+        grams = length[some] - n + 1
+        h = hashes(expand(begin[some], grams), n)
+        # of a long line only the lowest hashes, about 4 * KEYS, have to be ordered
+        low = (np.minimum(1.0, 4.0 * KEYS / grams) * (2.0**63)).astype(np.uint64)
+        use = np.flatnonzero(h >> U(1) <= np.repeat(low, grams))
+        h, who = h[use], np.repeat(line[heads[some]], grams)[use]
+        order = np.lexsort((h, who))
+        h, who = h[order], who[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
+        h, who = h[new], who[new]
+        firsts = starts_of(who)
+        rank = np.arange(len(who)) - np.repeat(firsts, np.diff(np.append(firsts, len(who))))
+        found.append((h[rank < KEYS] & ~U(1) | U(kind), who[rank < KEYS]))
+    some = np.flatnonzero(length >= 5)
+    five = hashes(expand(begin[some], length[some] - 4), 5)
+    print_ = np.zeros(len(heads), np.uint64)
+    print_[some] = vectext.simhash(five, np.repeat(np.arange(len(some)), length[some] - 4), len(some))
+    return *(np.concatenate(x) for x in zip(*found)), line[heads], chars[end] - chars[begin], print_
+
+
+def candidate_edges(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """Edges (a, b) between SimHashes that connect what pairs of lines with a common key and within radius connect."""
 
     def emit(batches):
         for batch in batches:
-            fps = np.unique(batch.column(0).to_numpy())
-            for k, value in enumerate(block_values(fps.view(np.uint64), m)):
-                out = np.zeros(len(fps), _PRINT)
-                out["key"], out["sh"] = value << 3 | k if m <= 8 else value * m + k, fps
+            for p in vectext.pieces(batch.column(0)):
+                breaks = np.flatnonzero(p.data == 10)
+                line = p.row + np.searchsorted(breaks, p.start)  # ascends by rows and by breaks
+                if not len(line):
+                    continue
+                h, who, lines_, chars, fives = keys(p, line, similarity)
+                n_lines = p.n_rows + len(breaks)
+                use = np.bincount(line, minlength=n_lines)[line] >= min_words
+                print_ = vectext.simhash(vectext.mix(p.hash[use], 22), line[use], n_lines)
+                there = np.zeros(n_lines, bool)
+                there[line[use]] = True
+                h, who = h[there[who]], who[there[who]]
+                out = np.zeros(len(h), _PRINT)
+                own = np.searchsorted(lines_, who)
+                out["key"], out["size"] = (h & U(0x7FFFFFFF)).astype(np.int32), np.minimum(chars[own], 65535)
+                out["sh"], out["sh5"] = print_[who].view(np.int64), fives[own]
+                out = np.unique(out)
                 yield vectext.mix(out["key"].astype(np.uint64), 5), out
 
     def reduce(records):
         records = np.unique(records)
         nodes, index = np.unique(records["sh"], return_inverse=True)
-        sh = records["sh"].view(np.uint64)
+        sh, sh5, size, kind = records["sh"].view(np.uint64), records["sh5"], records["size"].astype(np.int64), records["key"] & 1
+        most = np.array([(min(radius, g[3]), g[4]) for g in GRAMS])
+
+        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            ok = np.bitwise_count(sh5[i] ^ sh5[j]) <= most[kind[i], 1]
+            i, j = i[ok], j[ok]
+            long = np.maximum(size[i], size[j])
+            ok[ok] = (np.bitwise_count(sh[i] ^ sh[j]) <= most[kind[i], 0]) & ((np.abs(size[i] - size[j]) <= long * (1 - similarity) + 1e-9) | (long == 65535))
+            return ok
+
         heads = starts_of(records["key"])
         lengths = np.diff(np.append(heads, len(records)))
         a, b = [], []
@@ -153,22 +223,34 @@ def close_edges(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
                 lo, n = int(heads[j]), int(lengths[j])
                 step = max(1, (1 << 21) // n)
                 for at in range(lo, lo + n, step):
-                    x, y = np.nonzero(np.bitwise_count(sh[at : min(at + step, lo + n), None] ^ sh[None, lo : lo + n]) <= radius)
-                    x, y = index[x + at], index[y + lo]
+                    x, y = np.nonzero(np.bitwise_count(sh5[at : min(at + step, lo + n), None] ^ sh5[None, lo : lo + n]) <= most[kind[at], 1])
+                    x, y = x + at, y + lo
+                    ok = near(x, y)
+                    x, y = index[x[ok]], index[y[ok]]
                     ahead = x < y
                     a.append(x[ahead])
                     b.append(y[ahead])
                     x, y = star_edges(len(nodes), a, b)
                     a, b = [x], [y]
             else:
-                ok = np.bitwise_count(sh[i] ^ sh[j]) <= radius
+                ok = near(i, j)
                 if ok.any():
                     a.append(index[i[ok]])
                     b.append(index[j[ok]])
         x, y = star_edges(len(nodes), a, b)
         yield pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], ["a", "b"])
 
-    return scratch.shuffle(prints.select("sh"), emit, _PRINT, reduce, "a long, b long")
+    return scratch.shuffle(docs.select("text"), emit, _PRINT, reduce, "a long, b long")
+
+
+def _pair_counts(texts: list[str]) -> np.ndarray:
+    """Counts of the character pairs of each text, in 256 classes; an edit changes at most four of them."""
+    out = np.zeros((len(texts), 256), np.uint8)
+    for k, t in enumerate(texts):
+        c = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64)
+        if len(c) > 1:
+            out[k] = np.minimum(np.bincount((c[:-1] * 37 + c[1:]) & 255, minlength=256), 255)
+    return out
 
 
 def _verify(texts: list[str], sh: np.ndarray, radius: int, similarity: float) -> np.ndarray:
@@ -184,6 +266,17 @@ def _verify(texts: list[str], sh: np.ndarray, radius: int, similarity: float) ->
         return x
 
     step = max(1, (1 << 22) // n)
+    counts, size = _pair_counts(texts), np.array([len(t) for t in texts])
+
+    def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        limit = (np.maximum(size[x], size[y]) * (1 - similarity) + 1e-9).astype(np.int64)
+        ok = np.abs(size[x] - size[y]) <= limit
+        some = np.flatnonzero(ok)
+        for lo in range(0, len(some), 1 << 14):
+            k = some[lo : lo + (1 << 14)]
+            ok[k] = np.abs(counts[x[k]].astype(np.int16) - counts[y[k]]).sum(axis=1, dtype=np.int64) <= 4 * limit[k]
+        return ok
+
     for near in range(radius + 1):
         for at in range(0, n, step):
             d = np.bitwise_count(sh[at : at + step, None] ^ sh[None, :])
@@ -191,6 +284,8 @@ def _verify(texts: list[str], sh: np.ndarray, radius: int, similarity: float) ->
             x, y = np.nonzero((d == near) & (label[at : at + step, None] != label[None, :]))
             x += at
             ahead = x < y
+            x, y = x[ahead], y[ahead]
+            ahead = possible(x, y)
             for i, j in zip(x[ahead].tolist(), y[ahead].tolist()):
                 p, q = find(i), find(j)
                 if p != q and similar(texts[i], texts[j], similarity):
@@ -203,7 +298,7 @@ def decisions(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILAR
     every = scratch.table(lines(docs, min_words))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "sig")
     kinds = scratch.table(every.where("lh is not null").groupBy("lh", "sh").agg(F.min(order).alias("first")))
-    roots = connected(close_edges(kinds, radius))
+    roots = connected(candidate_edges(docs, radius, similarity, min_words))
     grouped = kinds.join(roots, kinds.sh == roots.node, "left").select("lh", "sh", "first", F.coalesce("root", "sh").alias("root"))
     many = grouped.withColumn("n", F.count("*").over(W.partitionBy("root"))).where("n > 1")
     wanted = many.groupBy(F.col("first.doc_id").alias("want_id"), F.col("first.sig").alias("want_sig")).agg(F.collect_list(F.struct("first.line_no", "lh", "sh", "root")).alias("wanted"))

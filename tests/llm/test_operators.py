@@ -232,6 +232,23 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.line_duplicates(empty(spark)).collect() == [] and line_dedup.clean(empty(spark)).collect() == []
 
 
+def test_similar_lines_are_linked_whatever_their_words(spark):
+    rng = random.Random(21)
+    lines = []
+    for n in (8, 10, 14, 20, 60):
+        for _ in range(40):
+            w = prose(rng, n).split()
+            lines.append(" ".join(w))
+            for _ in range(max(1, n // 10)):
+                w[rng.randrange(n)] = rng.choice(["vexing", "quartz", "jolly"])
+            lines.append(" ".join(w))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "doc_id long, text string").repartition(3)
+    lead = {r.doc_id: r.leader_doc_id for r in line_dedup.line_duplicates(docs).collect()}
+    pairs = [(i, j) for j in range(len(lines)) for i in range(j) if line_dedup.similar(lines[i], lines[j])]
+    assert len(pairs) >= 190 and sum(lead[i] == lead[j] for i, j in pairs) >= 0.9 * len(pairs)
+    assert all(lead[k] == k or any(line_dedup.similar(lines[k], lines[j]) for j in range(len(lines)) if j != k) for k in lead)
+
+
 def test_edit_distance():
     rng = random.Random(11)
 
