@@ -1,7 +1,7 @@
 """Fuzzy line dedup.
 
 A line is a part of a text between newlines; normalised, it is its words (see vectext) in lower case,
-separated by single spaces. Lines of MIN_WORDS words or more are compared; shorter and blank ones always
+separated by single spaces. Lines with a word (MIN_WORDS) are compared, however short; blank ones always
 stay. Two lines are linked iff the edit similarity of the normalised lines, 1 - Levenshtein / longer
 length, is at least SIMILARITY. Of each connected group the first occurrence by (doc_id, line number) stays.
 
@@ -37,7 +37,7 @@ from heronry.llm.groups import connected
 from heronry.llm.hamming import segment_pairs, star_edges
 from heronry.llm.vectext import U, expand, starts_of
 
-RADIUS, SIMILARITY, MIN_WORDS = 20, 0.8, 5
+RADIUS, SIMILARITY, MIN_WORDS = 20, 0.8, 1
 #: n-grams that are a line's keys; (bytes of an n-gram, for lines from so many bytes on, up to, bits of the first and second SimHash)
 KEYS, GRAMS = 6, ((8, 0, 64, 20, 17), (14, 64, 1 << 62, 16, 14))
 _PRINT = np.dtype([("key", "<i4"), ("size", "<u2"), ("sh", "<i8"), ("sh5", "<u8")])

@@ -249,6 +249,13 @@ def test_similar_lines_are_linked_whatever_their_words(spark):
     assert all(lead[k] == k or any(line_dedup.similar(lines[k], lines[j]) for j in range(len(lines)) if j != k) for k in lead)
 
 
+def test_short_lines_that_repeat_go(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved.\n\n漢字だけの行です"), (2, "all rights reserved\n\n\n漢字だけの行です"), (3, "No."), (4, "no"), (5, "...\n...")], "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): (r.kept, r.leader_doc_id) for r in line_dedup.line_duplicates(docs).collect()}
+    assert [k for k, v in sorted(got.items()) if not v[0]] == [(2, 0), (2, 3), (4, 0)]
+    assert got[2, 0][1] == got[2, 3][1] == 1 and got[4, 0][1] == 3
+
+
 def test_edit_distance():
     rng = random.Random(11)
 
