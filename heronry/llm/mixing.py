@@ -18,7 +18,8 @@ with a bound of their source, so texts are never shuffled, and a hot source is n
 
 Cases: null and empty texts have no tokens and are never chosen. A null source is a source. A null
 doc_id has its own place in the permutation; documents of equal doc_id share one and are chosen or left
-together. Other columns are ignored by mix() and carried along by mixed(). No tokens at all: no rows.
+together. Other columns are ignored by mix() and carried along by mixed(), the pipeline's stage, which uses
+the budgets only: its rows have no block, place or order.  No tokens at all: no rows.
 """
 
 from __future__ import annotations
