@@ -3,14 +3,14 @@
 Fingerprint: two independent 64-bit SimHashes of the set of a document's words of four bytes or more
 (of all words, if none is so long; of the text itself, if it has no word). Words count once: counted as
 often as they occur, the few commonest ones would make long documents of a language look alike.
-Two documents are near copies iff their first fingerprints differ in at most RADIUS bits and both
-together in at most BOTH bits. Groups are the connected groups of that relation; the document with the
+Two documents are near copies iff both fingerprints together differ in at most BOTH bits (RADIUS, the
+limit of the first alone, is no further limit). Groups are the connected groups of that relation; the document with the
 smallest doc_id of a group stays.
 
-Search. RADIUS is a quarter of what unrelated fingerprints differ by, and at that radius a BK-tree over
-whole fingerprints follows nearly every edge. So the 64 bits are cut into BLOCKS shards, and one
+Search. Near copies differ in at most BOTH // 2 bits of one of the fingerprints, so both are searched at that
+radius. There a BK-tree over whole fingerprints follows nearly every edge. So the 64 bits of each are cut into BLOCKS shards, and one
 BK-tree a shard holds the values that occur in it (children keyed by integer distance to the parent).
-By the pigeonhole principle near copies agree in some shard up to RADIUS // BLOCKS bits: every
+By the pigeonhole principle near copies agree in some shard up to BOTH // 2 // BLOCKS bits: every
 fingerprint asks each shard's tree for the values within that radius, following only edges between
 distance - radius and distance + radius, and meets their holders in a shuffle by (shard, value). Nothing
 is missed. The trees are broadcast; a shard has at most 2 ** 13 values, whatever the number of documents.
@@ -34,7 +34,7 @@ from heronry.llm.groups import connected
 from heronry.llm.hamming import block_edges, block_values, star_edges
 from heronry.llm.vectext import U, expand, starts_of
 
-RADIUS, BOTH, BLOCKS, LONG_WORD = 9, 20, 5, 4
+RADIUS, BOTH, BLOCKS, LONG_WORD = 20, 20, 5, 4
 _NODE = np.dtype([("key", "<i4"), ("asks", "?"), ("node", "<i8"), ("h1", "<u8"), ("h2", "<u8")])
 
 
@@ -116,19 +116,19 @@ def _node(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 def near_edges(prints: DataFrame, radius: int = RADIUS, both: int = BOTH, blocks: int = BLOCKS) -> DataFrame:
     """Edges (a, b) between nodes that connect exactly what near-copy pairs of distinct (h1, h2) connect."""
     spark: SparkSession = prints.sparkSession
-    reach, shapes = radius // blocks, block_edges(blocks)
+    reach, shapes = both // 2 // blocks, block_edges(blocks)
     if max(width for _, width in shapes) > 16:
         raise ValueError("too few blocks: a shard's tree would not stay small enough to broadcast")
     prints = prints.select("h1", "h2").where("h1 is not null")
-    shard_values = prints.select(F.explode(F.array(*(F.shiftrightunsigned("h1", shift).bitwiseAND((1 << width) - 1) + (k << 20) for k, (shift, width) in enumerate(shapes)))).alias("v")).distinct()
-    values = np.array([r.v for r in shard_values.collect()], np.int64)  # at most blocks * 2 ** 16, whatever the input
-    trees = scratch.share(spark, [BKTree(values[values >> 20 == k] & 0xFFFFF) for k in range(blocks)])
+    shard_values = prints.select(F.explode(F.array(*(F.shiftrightunsigned(h, shift).bitwiseAND((1 << width) - 1) + (k << 20) for k, (h, (shift, width)) in enumerate((h, x) for h in ("h1", "h2") for x in shapes)))).alias("v")).distinct()
+    values = np.array([r.v for r in shard_values.collect()], np.int64)  # at most 2 * blocks * 2 ** 16, whatever the input
+    trees = scratch.share(spark, [BKTree(values[values >> 20 == k] & 0xFFFFF) for k in range(2 * blocks)])
 
     def emit(batches):
         forest = scratch.shared(trees)
         for batch in batches:
             h1, h2 = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-            for k, own in enumerate(block_values(h1, blocks)):
+            for k, own in enumerate(block_values(h1, blocks) + block_values(h2, blocks)):
                 distinct, inverse = np.unique(own, return_inverse=True)
                 q, near = forest[k].within(distinct, reach)
                 near = near.astype(np.int64)
@@ -158,7 +158,7 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, both: int = BOTH, blocks
             for lo in range(at, at + n, rows):
                 hi = min(lo + rows, at + n)
                 d = np.bitwise_count(records["h1"][lo:hi, None] ^ records["h1"][None, at:to])
-                i, j = np.nonzero(d <= radius)
+                i, j = np.nonzero(d <= min(radius, both))
                 i, j = i + lo, j + at
                 ok = (i < j) & (np.bitwise_count(records["h1"][i] ^ records["h1"][j]) + np.bitwise_count(records["h2"][i] ^ records["h2"][j]) <= both)
                 a.append(index[i[ok]])

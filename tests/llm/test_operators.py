@@ -402,6 +402,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert simhash_dedup.near_duplicates(empty(spark)).collect() == [] and simhash_dedup.dedup(empty(spark)).collect() == []
 
 
+def test_either_half_may_hold_the_differing_bits(spark):
+    flip = lambda h, bits: h ^ sum(1 << b for b in bits)
+    h1, h2 = 0x123456789ABCDEF, 0x7EDCBA987654321
+    few, many = range(0, 60, 13), range(0, 60, 4)  # 5 and 15 bits
+    for a, b, near in ((few, many, 1), (many, few, 1), (many, many, 0)):
+        prints = spark.createDataFrame([(h1, h2), (flip(h1, a), flip(h2, b))], "h1 long, h2 long")
+        assert simhash_dedup.near_edges(prints).distinct().count() == near
+
+
 @pytest.mark.parametrize("limit", [10_000, 0])
 def test_connected_groups(spark, limit):
     rng = random.Random(14)
