@@ -41,6 +41,8 @@ RADIUS, SIMILARITY, MIN_WORDS = 20, 0.8, 1
 #: n-grams that are a line's keys; (bytes of an n-gram, for lines from so many bytes on, up to, bits of the first and second SimHash)
 KEYS, GRAMS = 6, ((8, 0, 64, 20, 17), (14, 64, 1 << 62, 16, 14))
 _PRINT = np.dtype([("key", "<i4"), ("size", "<u2"), ("sh", "<i8"), ("sh5", "<u8")])
+#: base of the n-grams' hashes modulo 2 ** 64, good for a few bytes
+_BASE = 0x9E3779B97F4A7C15
 _JOIN_WORDS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
 
@@ -142,7 +144,7 @@ def keys(p: vectext.Piece, line: np.ndarray, similarity: float = SIMILARITY) ->
     at = np.cumsum(size + 1) - size - 1
     text = np.full(int((size + 1).sum()), 32, np.uint8)
     text[expand(at, size)] = p.data[expand(p.start, size)]
-    up, down = (vectext.powers(x, len(text) + 1) for x in (vectext._BASE, vectext._BASE_INVERSE))
+    up, down = (vectext.powers(x, len(text) + 1) for x in (_BASE, pow(_BASE, -1, 2**64)))
     sums = np.zeros(len(text) + 1, np.uint64)
     np.cumsum((text.astype(np.uint64) + U(1)) * up[:-1], out=sums[1:])
     chars = np.append(0, np.cumsum(text & 0xC0 != 0x80))

@@ -104,7 +104,7 @@ def count_pieces(docs: DataFrame, path: str = vocabulary.BYTE_BPE) -> DataFrame:
         for batch in batches:
             n = np.zeros((3, batch.num_rows), np.int64)
             for p in vectext.pieces(batch.column(1), _BATCH, lower=False, word=vectext.SOLID):
-                _, first, which = np.unique(p.hash, return_index=True, return_inverse=True)
+                first, which = vectext.named(p.data, p.start, p.end, p.hash)
                 counts = automaton.counts(p.data, p.start[first], p.end[first])[which]
                 rows = slice(p.first, p.first + p.n_rows)
                 n[0, rows] = np.bincount(p.row, minlength=p.n_rows)

@@ -125,41 +125,27 @@ class Tokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes, self.first, self.length, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.place: dict[bytes, int] = {}
+        self.first, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def encode(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all parts, how many each part has)."""
-        distinct, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) > KEPT_PARTS:
+        """(ids of all parts, how many each part has). Equal hashes only say which parts to compare."""
+        sample, which = vectext.named(data, begin, end, hashes)
+        if len(self.place) > KEPT_PARTS:
             self._clear()
-        at = np.searchsorted(self.hashes, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = at < len(self.hashes)
-        known[inside] = self.hashes[at[inside]] == distinct[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
-            raw = data.tobytes()
-            lists = [self.bpe.encode_ordinary(raw[b:e].decode("utf-8", "replace")) for b, e in zip(begin[sample[new]].tolist(), end[sample[new]].tolist())]
-            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((x for one in lists for x in one), np.int32, int(lengths.sum()))
-            merged = np.concatenate([self.hashes, distinct[new]])
-            order = np.argsort(merged, kind="stable")
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(lengths) - lengths])[order]
-            self.length = np.concatenate([self.length, lengths])[order]
-            self.ids = np.concatenate([self.ids, flat])
-            self.hashes = merged[order]
-            at = np.searchsorted(self.hashes, distinct)
-        at = at[which]
+        raw = data.tobytes()
+        parts = [raw[b:e] for b, e in zip(begin[sample].tolist(), end[sample].tolist())]
+        new = [x for x in parts if x not in self.place]
+        lists = [self.bpe.encode_ordinary(x.decode("utf-8", "replace")) for x in new]
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.place.update(zip(new, range(len(self.first), len(self.first) + len(new))))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.ids = np.concatenate([self.ids, np.fromiter((x for one in lists for x in one), np.int32, int(lengths.sum()))])
+        at = np.fromiter((self.place[x] for x in parts), np.int64, len(parts))[which]
         return self.ids[expand(self.first[at], self.length[at])], self.length[at]
 
 
-def _hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray, table: vectext._Powers) -> np.ndarray:
-    up, down = table.get(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + vectext.U(1)) * up[: len(data)], out=sums[1:])
-    return vectext.mix((sums[end] - sums[begin]) * down[begin])
-
-
 def token_blocks(docs: DataFrame, path: str = vocabulary.BYTE_BPE, block: int = BLOCK, percentile: int = PERCENTILE) -> DataFrame:
     """(doc_id, n_tokens, block_starts, data) of every row."""
     if not 1 <= block <= 128:
@@ -168,14 +154,13 @@ def token_blocks(docs: DataFrame, path: str = vocabulary.BYTE_BPE, block: int =
 
     def run(batches):
         tokenizer = Tokenizer(shared.value)
-        table = vectext._Powers()
         for batch in batches:
             doc = batch.column(0)
             texts = batch.column(1).cast(pa.large_string()).fill_null("")
             for first, data, row_starts in vectext._slices(texts, _BATCH):
                 n_rows = len(row_starts) - 1
                 begin, end = _parts(data, row_starts)
-                ids, per_part = tokenizer.encode(data, begin, end, _hash(data, begin, end, table))
+                ids, per_part = tokenizer.encode(data, begin, end, vectext.hashes(data, begin, end))
                 lengths = np.bincount(np.searchsorted(row_starts, begin, "right") - 1, per_part, n_rows).astype(np.int64)
                 blob, bytes_, starts, n_blocks = encode(ids, lengths, block, percentile)
                 cut = lambda x: np.concatenate([[0], np.cumsum(x)]).astype(np.int32)
