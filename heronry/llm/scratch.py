@@ -1,8 +1,9 @@
 """Tables that cut lineage, and shuffles of packed arrays.
 
-A table is written to the folder that the session names in spark.checkpoint.dir, which all
-executors share, so the loss of an executor loses none of it. Only where the session names none,
-as in tests, a temporary folder takes its place.
+A table is written to the folder that the session names in spark.checkpoint.dir, which all executors share, so
+the loss of an executor loses none of it. Only where the session names none and runs on one machine, as in tests,
+a temporary folder takes its place; on a cluster that is an error. Tables of an application are in one folder,
+which goes when the application ends; drop() and scope() remove them earlier.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,33 +20,73 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heronry.llm import vectext
+
 _BLOB = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: a packed record batch stays below this many bytes
 BLOB_BYTES = 4 << 20
 
+_SCOPES: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
+    """The application's folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.conf.get("spark.heronry.scratch", None)
         if not where:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
             where = "file://" + tempfile.mkdtemp(prefix="heronry-")
             spark.conf.set("spark.heronry.scratch", where)
-    return where.rstrip("/")
+    return f"{where.rstrip('/')}/heronry-{spark.sparkContext.applicationId}"
+
 
+def _path(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
-def table(df: DataFrame) -> DataFrame:
-    """df, written once and read again. Shuffle files that led to it are freed at once."""
+
+def table(df: DataFrame, keep: bool = False) -> DataFrame:
+    """df, written once and read again. Shuffle files that led to it are freed at once. It goes when the scope that
+    it is made in ends, if any and if not keep, or when the application does."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/heronry-{uuid.uuid4().hex}"
+    folder = shared_dir(spark)
+    at, fs = _path(spark, folder)
+    fs.deleteOnExit(at)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._heronry_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Remove a table that nothing will read any more."""
+    at, fs = _path(df.sparkSession, df._heronry_path)
+    fs.delete(at, True)
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables made inside go at the end, so what is wanted of them has to be written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            at, fs = _path(spark, path)
+            fs.delete(at, True)
 
 
 def share(spark: SparkSession, value: object) -> Broadcast:
@@ -53,7 +95,15 @@ def share(spark: SparkSession, value: object) -> Broadcast:
 
 
 def shared(held: Broadcast) -> object:
-    return pickle.loads(held.value)
+    """The value; a worker keeps one unpickled object, for its next task."""
+
+    def load() -> object:
+        value = pickle.loads(held.value)
+        if held._path is not None:
+            held.__dict__.pop("_value", None)  # the pickled bytes; the file is still there
+        return value
+
+    return vectext.once("shared", held._path or id(held), load)
 
 
 def n_parts(spark: SparkSession) -> int:
@@ -96,39 +146,40 @@ def shuffle(
         if held:
             yield from reduce(np.concatenate(held))
 
-    return df.mapInArrow(scatter, "part int, blob binary").repartition(n, F.col("part")).mapInArrow(collect, schema)
+    return df.mapInArrow(scatter, "part int, blob binary").repartitionById(n, F.col("part")).mapInArrow(collect, schema)
 
 
-def fold(values: np.ndarray, widths: tuple[int, ...]) -> bytes:
-    """Columns (a 2-d array of 64-bit values, one row a column; the first non-decreasing) as bytes that
-    compress well: the first as differences, each in planes of its bytes, up to its width in bytes."""
-    n = values.shape[1]
-    columns = values.copy()
-    columns[0, 1:] -= values[0, :-1]
-    planes = [np.ascontiguousarray(columns[c].view(np.uint8).reshape(n, 8)[:, :w].T) for c, w in enumerate(widths)]
-    return np.uint64(n).tobytes() + b"".join(p.tobytes() for p in planes)
+def fold(columns: list[np.ndarray], ascends: bool = True) -> bytes:
+    """Columns of 64-bit values as bytes that are few: the first, if it ascends, as differences, each in planes of its
+    bytes, as many as its largest value has, compressed."""
+    n, heads, planes = len(columns[0]), [], []
+    for k, column in enumerate(columns):
+        column = np.ascontiguousarray(column, np.uint64)
+        if ascends and not k and n:
+            column = np.concatenate([column[:1], column[1:] - column[:-1]])
+        width = (int(column.max()).bit_length() + 7) // 8 if n else 0
+        heads.append(width)
+        planes.append(np.ascontiguousarray(column.view(np.uint8).reshape(n, 8)[:, :width].T).tobytes())
+    raw = b"".join(planes)
+    return n.to_bytes(8, "little") + bytes([ascends, len(heads), *heads]) + (pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True) if raw else b"")
 
 
-def unfold(blob: np.ndarray, widths: tuple[int, ...]) -> np.ndarray:
-    n = int(blob[:8].view(np.uint64)[0])
-    out = np.zeros((len(widths), n, 8), np.uint8)
-    at = 8
-    for c, w in enumerate(widths):
-        out[c, :, :w] = blob[at : at + w * n].reshape(w, n).T
-        at += w * n
-    out = out.reshape(len(widths), -1).view(np.uint64).reshape(len(widths), n)
-    np.cumsum(out[0], out=out[0])
-    return out
+def folded(blob: bytes) -> int:
+    """How many rows a blob of fold() has."""
+    return int.from_bytes(blob[:8], "little")
 
 
-def fold_parts(key: np.ndarray, columns: tuple[np.ndarray, ...], widths: tuple[int, ...], n: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, folded columns): part is mix(key) modulo n; inside a part rows are ordered by the columns."""
-    part = key % np.uint64(n)
-    order = np.lexsort((*reversed(columns[:2]), part))
-    part = part[order]
-    values = np.stack([c[order] for c in columns]).astype(np.uint64)
-    heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-    ends = np.append(heads[1:], len(part))
-    for lo in range(0, len(heads), 64):
-        pairs = list(zip(heads[lo : lo + 64].tolist(), ends[lo : lo + 64].tolist()))
-        yield pa.RecordBatch.from_arrays([pa.array(part[[a for a, _ in pairs]].astype(np.int32)), pa.array([fold(values[:, a:b], widths) for a, b in pairs], pa.binary())], schema=_BLOB)
+def unfold(blob: bytes) -> np.ndarray:
+    """The columns of a blob of fold(), one row each."""
+    n, ascends, widths = folded(blob), blob[8], blob[10 : 10 + blob[9]]
+    out = np.zeros((len(widths), n, 8), np.uint8)
+    if n and sum(widths):
+        raw = np.frombuffer(pa.Codec("zstd").decompress(memoryview(blob)[10 + len(widths) :], n * sum(widths)), np.uint8)
+        at = 0
+        for c, w in enumerate(widths):
+            out[c, :, :w] = raw[at : at + w * n].reshape(w, n).T
+            at += w * n
+    out = out.view(np.uint64).reshape(len(widths), n)
+    if ascends:
+        np.cumsum(out[0], out=out[0])
+    return out

@@ -13,6 +13,8 @@ eight bytes of their BLAKE2b digest instead.
 from __future__ import annotations
 
 import hashlib
+import sys
+import types
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -93,14 +95,19 @@ class _Table:
         self.low, self.high, self.down = up & _M31, up >> U(31), _prime_powers(pow(_BASE, -1, _P), n)
 
 
-_TABLE: list[_Table] = []
+def once(kind: str, key: object, make):
+    """make(), kept for the next task of this worker; of each kind the latest only. This module's own globals
+    travel with every task, so they can't hold it."""
+    held = sys.modules.setdefault("_heronry_held", types.ModuleType("_heronry_held")).__dict__
+    if kind not in held or held[kind][0] != key:
+        held.pop(kind, None)
+        held[kind] = (key, make())
+    return held[kind][1]
 
 
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the bytes data[start:end]; start ascends."""
-    if not _TABLE:
-        _TABLE.append(_Table())
-    table, out = _TABLE[0], np.zeros(len(start), np.uint64)
+    table, out = once("powers", 0, _Table), np.zeros(len(start), np.uint64)
     long = end - start > LONG_RUN
     some = np.flatnonzero(~long) if long.any() else None
     s, e = (start, end) if some is None else (start[some], end[some])
