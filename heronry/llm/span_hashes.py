@@ -5,14 +5,15 @@ modulo two primes near 2 ** 31. The words i .. i + n of one text and j .. j + n
 (P[i + n] - P[i]) * B ** j = (Q[j + n] - Q[j]) * B ** i modulo both (a chance hit has odds of 2 ** -61),
 so any span equality takes constant time and the longest common extension a binary search.
 
-spans() fingerprints every document, names the first document with the same words (copy_of), and finds
+spans() fingerprints every document, names the first document with the same words (copy_of; besides the prefix
+hash a sum of scrambled words has to be equal, 126 bits in all), and finds
 all maximal spans of MIN_WORDS words or more that it shares with a benchmark text: where a window of
 MIN_WORDS words has the hash of one in the benchmark and the words before it differ, the longest common
 extension gives the span. The benchmark's arrays are broadcast while they take at most BROADCAST_WORDS
 words, and by slices of that size beyond, a pass over the documents each.
 
 Cases: null and empty texts have no words, are no copies (copy_of is null) and share nothing; texts and
-items shorter than MIN_WORDS share nothing; a null doc_id is compared like any other and never named as
+items shorter than MIN_WORDS share nothing; an item without item_id is listed as null, first; a null doc_id is compared like any other and never named as
 copy_of unless it is alone with those words; repeated rows give a row each; benchmark rows that repeat
 count once; other columns are ignored; empty tables give an empty result or no spans.
 """
@@ -22,7 +23,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heronry.llm import scratch, vectext
@@ -149,40 +149,46 @@ def spans(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, bro
             bench = scratch.shared(held)
             for batch in batches:
                 size = batch.num_rows
-                n_words, print_, found = np.zeros(size, np.int64), np.zeros(size, np.int64), [[] for _ in range(size)]
+                n_words, print_, check, found = *np.zeros((3, size), np.int64), [[] for _ in range(size)]
                 for p in vectext.pieces(batch.column(1)):
                     doc = Prefixes(p.hash)
                     first = np.searchsorted(p.row, np.arange(p.n_rows + 1))
                     rows = slice(p.first, p.first + p.n_rows)
                     n_words[rows] = np.diff(first)
                     print_[rows] = doc.hashes(first[:-1], first[1:]).view(np.int64)
+                    sums = np.append(U(0), np.cumsum(vectext.mix(p.hash ^ vectext.mix((np.arange(len(p.hash)) - first[p.row]).astype(np.uint64), 41), 42)))
+                    check[rows] = (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
                     for row, i, item, j, n in zip(*(x.tolist() for x in _shared(p, doc, first, bench, min_words))):
-                        found[row + p.first].append((-1 if bench.ids[item] is None else bench.ids[item], i, j, n))
+                        found[row + p.first].append((bench.ids[item], i, j, n))
                 new = [[{"item": a, "i": b, "j": c, "n": d} for a, b, c, d in x] for x in found]
                 lists = [(old or []) + now for old, now in zip(batch.column(2).to_pylist(), new)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1) if not last else pa.nulls(size, pa.string()), pa.array(lists, _SPAN), pa.array(n_words), pa.array(print_)], ["doc_id", "text", "found", "n_words", "print"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1) if not last else pa.nulls(size, pa.string()), pa.array(lists, _SPAN), *map(pa.array, (n_words, print_, check))], ["doc_id", "text", "found", "n_words", "print", "check"])
 
-        return frame.mapInArrow(run, "doc_id long, text string, found array<struct<item:long,i:long,j:long,n:long>>, n_words long, print long")
+        return frame.mapInArrow(run, "doc_id long, text string, found array<struct<item:long,i:long,j:long,n:long>>, n_words long, print long, check long")
 
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr("cast(null as array<struct<item:long,i:long,j:long,n:long>>)").alias("found"))
     todo = slices or [[]]
     for k, items in enumerate(todo):
         frame = passed(frame.select("doc_id", "text", "found"), items, k == len(todo) - 1)
-    copy = F.when(F.col("n_words") > 0, F.min("doc_id").over(W.partitionBy("print", "n_words", F.when(F.col("n_words") == 0, F.col("doc_id")))))
-    listed = F.array_join(F.transform(F.array_sort("found"), lambda s: F.concat_ws(":", F.when(s["item"] >= 0, s["item"]).otherwise(F.lit(-1)).cast("string"), s["i"].cast("string"), s["j"].cast("string"), s["n"].cast("string"))), " ")
-    return frame.select("doc_id", "n_words", copy.alias("copy_of"), F.size("found").cast("long").alias("n_spans"), F.coalesce(F.array_max(F.transform("found", lambda s: s["n"])), F.lit(0)).alias("longest_span"), listed.alias("spans"))
+    found = scratch.table(frame.drop("text"))
+    # of texts that repeat the first is found before the shuffle, and met by a join, so thousands of copies gather nowhere
+    firsts = found.where("n_words > 0").groupBy(F.col("print").alias("p"), F.col("check").alias("q"), F.col("n_words").alias("size")).agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"))
+    first = F.when(F.col("n_words") > 0, F.when(F.col("copies") > 1, F.col("copy_of")).otherwise(F.col("doc_id")))
+    frame = found.join(firsts.where("copies > 1"), (F.col("print") == F.col("p")) & (F.col("check") == F.col("q")) & (F.col("n_words") == F.col("size")), "left")
+    listed = F.array_join(F.transform(F.array_sort("found"), lambda s: F.concat_ws(":", F.coalesce(s["item"].cast("string"), F.lit("null")), s["i"].cast("string"), s["j"].cast("string"), s["n"].cast("string"))), " ")
+    return frame.select("doc_id", "n_words", first.alias("copy_of"), F.size("found").cast("long").alias("n_spans"), F.coalesce(F.array_max(F.transform("found", lambda s: s["n"])), F.lit(0)).alias("longest_span"), listed.alias("spans"))
 
 
 _SPAN = pa.list_(pa.struct([("item", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("n", pa.int64())]))
 
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
-b AS (SELECT DISTINCT coalesce(item_id, -1) AS item, regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+b AS (SELECT DISTINCT item_id AS item, regexp_extract_all(lower(text), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark WHERE text IS NOT NULL),
 dt AS (SELECT rid, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
 bt AS (SELECT item, w, unnest(w) AS word, unnest(range(0, len(w))) AS j FROM b),
 hit AS (SELECT rid, item, w, i, j, i - row_number() OVER (PARTITION BY rid, item, w, i - j ORDER BY i) AS island FROM dt JOIN bt USING (word)),
 run AS (SELECT rid, item, min(i) AS i, min(j) AS j, count(*) AS n FROM hit GROUP BY rid, item, w, i - j, island HAVING count(*) >= {MIN_WORDS}),
-listed AS (SELECT rid, count(*) AS n_spans, max(n) AS longest, string_agg(item || ':' || i || ':' || j || ':' || n, ' ' ORDER BY item, i, j, n) AS spans FROM run GROUP BY rid)
+listed AS (SELECT rid, count(*) AS n_spans, max(n) AS longest, string_agg(coalesce(item::VARCHAR, 'null') || ':' || i || ':' || j || ':' || n, ' ' ORDER BY item NULLS FIRST, i, j, n) AS spans FROM run GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, CASE WHEN len(w) > 0 THEN min(doc_id) OVER (PARTITION BY w) END AS copy_of,
   coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(longest, 0)::BIGINT AS longest_span, coalesce(spans, '') AS spans
 FROM d LEFT JOIN listed USING (rid)
