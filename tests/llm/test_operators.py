@@ -75,6 +75,48 @@ def test_mixed_is_mix(spark):
     assert got == want and mixing.mixed(docs).columns == docs.columns
 
 
+# --- bytes
+
+
+def collide():
+    """Two words whose polynomials are equal modulo 2 ** 64 in every odd base."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_runs_of_bytes_are_told_apart():
+    import pyarrow as pa
+
+    a, b = collide()
+    (p,) = vectext.pieces(pa.array([a, b, a]))
+    assert p.hash[0] == p.hash[2] != p.hash[1]
+    rng = random.Random(2)
+    runs = [bytes(rng.choice(b"ab") for _ in range(rng.choice([0, 1, 7, 8, 9, 17, 40, 300]))) for _ in range(400)]
+    data = np.frombuffer(b"".join(runs), np.uint8)
+    end = np.cumsum([len(r) for r in runs])
+    start = end - [len(r) for r in runs]
+    sample, which = vectext.named(data, start, end, np.array([len(r) % 3 for r in runs], np.uint64))  # hashes that collide
+    assert [runs[k] for k in sample[which]] == runs and len(sample) == len(set(runs))
+    long = ["q" * 70_000 + " " + "q" * 70_000 + " r" + "q" * 70_000]
+    (p,) = vectext.pieces(pa.array(long))
+    assert p.hash[0] == p.hash[1] != p.hash[2]
+
+
+def test_words_that_collide_modulo_two_to_the_64(spark):
+    a, b = collide()
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    got = {r.doc_id: r for r in span_hashes.spans(docs, spark.createDataFrame([], "item_id long, text string")).collect()}
+    assert [got[k].copy_of for k in (1, 2, 3)] == [1, 2, 1]
+    blocks = {r.doc_id: bytes(r.data) for r in token_blocks.token_blocks(docs).collect()}
+    assert blocks[1] == blocks[3] != blocks[2]
+    near = {r.doc_id: r.kept for r in simhash_dedup.near_duplicates(docs).collect()}
+    assert near == {1: True, 2: True, 3: False}
+    lines = {r.doc_id: r.kept for r in line_dedup.line_duplicates(docs).collect()}
+    assert lines == {1: True, 2: True, 3: False}
+
+
 # --- 3
 
 
@@ -98,7 +140,7 @@ def test_spans_equal_sql(spark):
     items.append(items[0])
     extra = ["start " + items[0] + " end", items[1], " ".join(items[5].split()[3:30]) + " then " + " ".join(items[5].split()[10:]), items[0] + " " + items[0], items[2]]
     docs, _ = tricky(spark, extra)
-    bench = spark.createDataFrame([(k, t, "extra") for k, t in enumerate(items)], "item_id long, text string, doc_id string")
+    bench = spark.createDataFrame([(k, t, "extra") for k, t in enumerate(items)] + [(None, items[5], "extra"), (-1, items[5], "extra"), (-7, items[0], "extra")], "item_id long, text string, doc_id string")
     same_as_sql(span_hashes.spans(docs, bench), span_hashes.SQL, documents=docs, benchmark=bench)
     same_as_sql(span_hashes.spans(docs, bench, broadcast_words=30), span_hashes.SQL, documents=docs, benchmark=bench)
     assert span_hashes.spans(empty(spark), bench).collect() == [] and span_hashes.spans(docs, bench.limit(0)).where("n_spans > 0").count() == 0
@@ -305,6 +347,14 @@ def test_packing_equals_a_plain_loop(spark):
     assert packing.packed(empty(spark)).collect() == []
 
 
+def test_packing_spreads_rows_without_doc_id(spark):
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", "repeat('a', 400) as text")
+    got = packing.packed(docs, capacity=1000, shard_tokens=10_000).groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()
+    assert sum(r.n for r in got) == 300_000 and len(got) >= 25 and max(r.n for r in got) < 30_000
+    got = packing.packed(spark.range(140_000).selectExpr("7L as doc_id", "'abcd' as text"), shard_tokens=20_000).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in got) == 140_000 and len(got) == 7
+
+
 # --- 9
 
 
