@@ -12,11 +12,14 @@ over their words, each as often as it occurs, one of 64 bits over their 5-grams
 odds of about (1 - J) ** KEYS; the README has the measured recall. Lines of fewer bytes than an n-gram are
 compared by equality.
 
-Plan. Equal lines collapse in one aggregation. Each line's SimHash is sent to its KEYS, pairs that share a
-key are compared as arrays, and each key sends back a spanning forest, so a group of n variants costs n
-edges. Lines of one group of candidates then meet, with their texts, in one place, where pairs not yet
-connected are verified, nearest SimHashes first, if the counts of their character pairs allow it; so n
-true variants take about n edit distances, not n * n. Only lines that have a candidate have their texts fetched.
+Plan. Equal lines collapse in one aggregation. Each line's SimHashes are sent to its KEYS, where pairs that share a
+key are compared as arrays; a key sends back its members and a minimum spanning forest of its close pairs by
+SimHash distance, so a family of n variants costs n pairs, not n * n, and most of its keys give the same ones. Each
+distinct pair is verified by itself, wherever, so neither a family nor a chain of candidates gathers in one task.
+What is similar is connected; then the keys send the close pairs that are still in different groups, and these are
+verified too. So every close pair that shares a key is verified unless it is connected already. A pair is first held
+to be similar by an alignment along common substrings, whose cost bounds the edit distance from above, then ruled out
+by counts of character pairs, and only else measured. Only lines that have a candidate have their texts fetched.
 
 Cases: a null text stays null and has no lines in the result; an empty text has one, empty, line. A null
 doc_id is compared like any other and comes last as an occurrence to keep. Rows that repeat doc_id and
@@ -29,18 +32,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heronry.llm import scratch, vectext
 from heronry.llm.groups import connected
-from heronry.llm.hamming import segment_pairs, star_edges
-from heronry.llm.vectext import U, expand, starts_of
+from heronry.llm.hamming import segment_pairs
+from heronry.llm.vectext import U, components, expand, starts_of
 
 RADIUS, SIMILARITY, MIN_WORDS = 20, 0.8, 1
 #: n-grams that are a line's keys; (bytes of an n-gram, for lines from so many bytes on, up to, bits of the first and second SimHash)
 KEYS, GRAMS = 6, ((8, 0, 64, 20, 17), (14, 64, 1 << 62, 16, 14))
-_PRINT = np.dtype([("key", "<i4"), ("size", "<u2"), ("sh", "<i8"), ("sh5", "<u8")])
+_PRINT = np.dtype([("key", "<u8"), ("lh", "<u8"), ("sh", "<u8"), ("sh5", "<u8"), ("size", "<u2")])
 #: base of the n-grams' hashes modulo 2 ** 64, good for a few bytes
 _BASE = 0x9E3779B97F4A7C15
 _JOIN_WORDS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -87,9 +89,53 @@ def levenshtein_within(a: str, b: str, limit: int) -> bool:
     return score <= limit
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common beginning."""
+    lo, hi = 0, min(len(a), len(b))
+    if a[:hi] == b[:hi]:
+        return hi
+    while hi - lo > 1:  # a[:lo] is common, a[:hi] isn't
+        mid = (lo + hi) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid
+    return lo
+
+
+def distance_at_most(a: str, b: str) -> int:
+    """An upper bound of the edit distance: the cost of one alignment, along substrings that both have."""
+    todo, cost = [(a, b)], 0
+    while todo:
+        a, b = todo.pop()
+        lo = _common(a, b)
+        a, b = a[lo:], b[lo:]
+        end = _common(a[::-1], b[::-1])
+        a, b = a[: len(a) - end], b[: len(b) - end]
+        m, n = len(a), len(b)
+        for at in (m // 2, m // 4, 3 * m // 4) if min(m, n) >= 16 else ():
+            to = b.find(a[at : at + 12], max(0, at - abs(m - n) - 32), at + abs(m - n) + 44)
+            if to >= 0:
+                todo += [(a[:at], b[:to]), (a[at:], b[to:])]
+                break
+        else:
+            cost += max(m, n)
+    return cost
+
+
+def _pair_counts(text: str) -> np.ndarray:
+    """Counts of the character pairs of a text, in 256 classes; an edit changes at most four of them."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.bincount((c[:-1] * 37 + c[1:]) & 255, minlength=256)
+
+
 def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
-    longest = max(len(a), len(b))
-    return levenshtein_within(a, b, int(longest * (1 - similarity) + 1e-9))
+    limit = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+    if abs(len(a) - len(b)) > limit:
+        return False
+    if distance_at_most(a, b) <= limit:
+        return True
+    return int(np.abs(_pair_counts(a) - _pair_counts(b)).sum()) <= 4 * limit and levenshtein_within(a, b, limit)
 
 
 def normalise(line: bytes) -> str:
@@ -101,6 +147,17 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"), "text")
 
 
+def _whole(p: vectext.Piece, line: np.ndarray, n_lines: int) -> np.ndarray:
+    """A hash of the words of each line; line tells the line of each word."""
+    out = np.zeros(n_lines, np.uint64)
+    if len(line):
+        heads = starts_of(line)
+        place = np.arange(len(line)) - np.repeat(heads, np.diff(np.append(heads, len(line))))
+        # of each word and its place a scrambled value, so that no arithmetic of one word undoes another's
+        out[line[heads]] = vectext.mix(np.add.reduceat(vectext.mix(p.hash ^ vectext.mix(place.astype(np.uint64), 23), 21), heads))
+    return out
+
+
 def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, sig, line_no, lh, sh) of every line: lh hashes the normalised line, sh is its SimHash; null if it is too short."""
 
@@ -118,13 +175,7 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 number = np.arange(len(row)) - first[row]
                 line = first[p.row] + np.searchsorted(breaks, p.start) - np.searchsorted(breaks, p.row_starts)[p.row]
                 n_words = np.bincount(line, minlength=len(row))
-                heads = starts_of(line)
-                lengths = np.diff(np.append(heads, len(line)))
-                place = np.arange(len(line)) - np.repeat(heads, lengths)
-                whole = np.zeros(len(row), np.uint64)
-                if len(line):
-                    up = vectext.powers(0xD1B54A32D192ED03, int(lengths.max()))
-                    whole[line[heads]] = vectext.mix(np.add.reduceat(vectext.mix(p.hash, 21) * up[place], heads))
+                whole = _whole(p, line, len(row))
                 use = n_words[line] >= min_words
                 print_ = vectext.simhash(vectext.mix(p.hash[use], 22), line[use], len(row))
                 short = n_words < min_words
@@ -180,8 +231,52 @@ def keys(p: vectext.Piece, line: np.ndarray, similarity: float = SIMILARITY) ->
     return *(np.concatenate(x) for x in zip(*found)), line[heads], chars[end] - chars[begin], print_
 
 
-def candidate_edges(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
-    """Edges (a, b) between SimHashes that connect what pairs of lines with a common key and within radius connect."""
+def _close(records: np.ndarray, radius: int, similarity: float):
+    """Index pairs i < j, in pieces, of records, ordered by key, that share a key and are close."""
+    sh, sh5, size, kind = records["sh"], records["sh5"], records["size"].astype(np.int64), (records["key"] & U(1)).astype(np.int64)
+    most = np.array([(min(radius, g[3]), g[4]) for g in GRAMS])
+
+    def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = np.bitwise_count(sh5[i] ^ sh5[j]) <= most[kind[i], 1]
+        i, j = i[ok], j[ok]
+        long = np.maximum(size[i], size[j])
+        ok = (np.bitwise_count(sh[i] ^ sh[j]) <= most[kind[i], 0]) & ((np.abs(size[i] - size[j]) <= long * (1 - similarity) + 1e-9) | (long == 65535))
+        return i[ok], j[ok]
+
+    heads = starts_of(records["key"])
+    lengths = np.diff(np.append(heads, len(records)))
+    for i, j in segment_pairs(heads, lengths):
+        if i is not None:
+            yield near(i, j)
+            continue
+        lo, n = int(heads[j]), int(lengths[j])
+        step = max(1, (1 << 21) // n)
+        for at in range(lo, lo + n, step):
+            x, y = np.nonzero(np.bitwise_count(sh5[at : min(at + step, lo + n), None] ^ sh5[None, at : lo + n]) <= most[kind[at], 1])
+            ahead = x < y
+            yield near(x[ahead] + at, y[ahead] + at)
+
+
+def spanning_forest(n: int, i: np.ndarray, j: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The edges i - j of the minimum spanning forest of n nodes; ranks are distinct weights."""
+    label, chosen, left = np.arange(n), [np.zeros(0, np.int64)], np.arange(len(i))
+    while True:
+        x, y = label[i[left]], label[j[left]]
+        left = left[x != y]
+        if not len(left):
+            return np.concatenate(chosen)
+        x, y = label[i[left]], label[j[left]]
+        best = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(best, x, rank[left])
+        np.minimum.at(best, y, rank[left])
+        take = left[(best[x] == rank[left]) | (best[y] == rank[left])]
+        chosen.append(take)
+        label = components(n, label[i[take]], label[j[take]])[label]
+
+
+def candidates(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
+    """Of each key with close lines: its members (key, lh, sh, sh5, size) and, with key null, pairs (lh, mate), lh < mate,
+    a minimum spanning forest of the close ones by SimHash distance."""
 
     def emit(batches):
         for batch in batches:
@@ -199,100 +294,81 @@ def candidate_edges(docs: DataFrame, radius: int = RADIUS, similarity: float = S
                 h, who = h[there[who]], who[there[who]]
                 out = np.zeros(len(h), _PRINT)
                 own = np.searchsorted(lines_, who)
-                out["key"], out["size"] = (h & U(0x7FFFFFFF)).astype(np.int32), np.minimum(chars[own], 65535)
-                out["sh"], out["sh5"] = print_[who].view(np.int64), fives[own]
-                out = np.unique(out)
-                yield vectext.mix(out["key"].astype(np.uint64), 5), out
+                out["key"], out["lh"], out["size"] = h, _whole(p, line, n_lines)[who], np.minimum(chars[own], 65535)
+                out["sh"], out["sh5"] = print_[who], fives[own]
+                out = _distinct(out)
+                yield vectext.mix(out["key"], 5), out
 
     def reduce(records):
-        records = np.unique(records)
-        nodes, index = np.unique(records["sh"], return_inverse=True)
-        sh, sh5, size, kind = records["sh"].view(np.uint64), records["sh5"], records["size"].astype(np.int64), records["key"] & 1
-        most = np.array([(min(radius, g[3]), g[4]) for g in GRAMS])
-
-        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            ok = np.bitwise_count(sh5[i] ^ sh5[j]) <= most[kind[i], 1]
-            i, j = i[ok], j[ok]
-            long = np.maximum(size[i], size[j])
-            ok[ok] = (np.bitwise_count(sh[i] ^ sh[j]) <= most[kind[i], 0]) & ((np.abs(size[i] - size[j]) <= long * (1 - similarity) + 1e-9) | (long == 65535))
-            return ok
-
-        heads = starts_of(records["key"])
-        lengths = np.diff(np.append(heads, len(records)))
-        a, b = [], []
-        for i, j in segment_pairs(heads, lengths):
-            if i is None:
-                lo, n = int(heads[j]), int(lengths[j])
-                step = max(1, (1 << 21) // n)
-                for at in range(lo, lo + n, step):
-                    x, y = np.nonzero(np.bitwise_count(sh5[at : min(at + step, lo + n), None] ^ sh5[None, lo : lo + n]) <= most[kind[at], 1])
-                    x, y = x + at, y + lo
-                    ok = near(x, y)
-                    x, y = index[x[ok]], index[y[ok]]
-                    ahead = x < y
-                    a.append(x[ahead])
-                    b.append(y[ahead])
-                    x, y = star_edges(len(nodes), a, b)
-                    a, b = [x], [y]
-            else:
-                ok = near(i, j)
-                if ok.any():
-                    a.append(index[i[ok]])
-                    b.append(index[j[ok]])
-        x, y = star_edges(len(nodes), a, b)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], ["a", "b"])
-
-    return scratch.shuffle(docs.select("text"), emit, _PRINT, reduce, "a long, b long")
-
-
-def _pair_counts(texts: list[str]) -> np.ndarray:
-    """Counts of the character pairs of each text, in 256 classes; an edit changes at most four of them."""
-    out = np.zeros((len(texts), 256), np.uint8)
-    for k, t in enumerate(texts):
-        c = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64)
-        if len(c) > 1:
-            out[k] = np.minimum(np.bincount((c[:-1] * 37 + c[1:]) & 255, minlength=256), 255)
-    return out
+        records = _distinct(records)
+        a, b = records["lh"], np.zeros(0, np.int64)
+        i = j = b
+        member = np.zeros(len(records), bool)
+        for x, y in _close(records, radius, similarity):
+            member[x] = member[y] = True
+            i, j = np.concatenate([i, x]), np.concatenate([j, y])
+            weight = np.bitwise_count(records["sh"][i] ^ records["sh"][j]).astype(np.int64) + np.bitwise_count(records["sh5"][i] ^ records["sh5"][j])
+            rank = np.empty(len(i), np.int64)
+            rank[np.lexsort((np.maximum(a[i], a[j]), np.minimum(a[i], a[j]), weight))] = np.arange(len(i))
+            keep = spanning_forest(len(records), i, j, rank)
+            i, j = i[keep], j[keep]
+        told = records[member]
+        one, two = np.unique(np.stack([np.minimum(a[i], a[j]), np.maximum(a[i], a[j])]), axis=1)
+        none = pa.nulls(len(one), pa.int64())
+        names = ["key", "lh", "sh", "sh5", "size", "mate"]
+        yield pa.RecordBatch.from_arrays([*(pa.array(told[x].view(np.int64)) for x in names[:4]), pa.array(told["size"].astype(np.int64)), pa.nulls(len(told), pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([none, pa.array(one.view(np.int64)), none, none, none, pa.array(two.view(np.int64))], names)
+
+    return scratch.shuffle(docs.select("text"), emit, _PRINT, reduce, "key long, lh long, sh long, sh5 long, size long, mate long")
+
+
+def _distinct(records: np.ndarray) -> np.ndarray:
+    """One record of each key and line, ordered by key."""
+    _, first = np.unique(vectext.mix(records["key"] ^ vectext.mix(records["lh"], 51), 52), return_index=True)
+    records = records[first]
+    return records[np.lexsort((records["lh"], records["key"]))]
+
+
+def _still_apart(members: DataFrame, groups: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Close pairs (lh, mate) of lines that share a key and are in different groups."""
+    known = members.join(groups.select(F.col("node").alias("k"), "root"), F.col("lh") == F.col("k"), "left").select("key", "lh", "sh", "sh5", "size", F.coalesce("root", "lh").alias("root"))
+    mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("key").alias("k"))
+    n = scratch.n_parts(members.sparkSession)
 
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        records = np.zeros(t.num_rows, _PRINT)
+        for k, name in enumerate(("key", "lh", "sh", "sh5", "size")):
+            records[name] = t.column(k).to_numpy().view(np.uint64)
+        root = t.column(5).to_numpy()
+        by = np.lexsort((records["lh"], records["key"]))
+        records, root = records[by], root[by]
+        for i, j in _close(records, radius, similarity):
+            apart = root[i] != root[j]
+            x, y = records["lh"][i[apart]].view(np.int64), records["lh"][j[apart]].view(np.int64)
+            a, b = records["lh"][i[apart]], records["lh"][j[apart]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(a < b, x, y)), pa.array(np.where(a < b, y, x))], ["lh", "mate"])
+
+    met = known.join(mixed, F.col("key") == F.col("k"), "left_semi").repartition(n, "key")
+    return met.mapInArrow(run, "lh long, mate long").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of the pairs (lh, mate) that are similar."""
 
-def _verify(texts: list[str], sh: np.ndarray, radius: int, similarity: float) -> np.ndarray:
-    """Label (smallest member) of each line of one group of close SimHashes. A pair is verified unless its
-    lines are connected already, nearest SimHashes first."""
-    n = len(texts)
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    step = max(1, (1 << 22) // n)
-    counts, size = _pair_counts(texts), np.array([len(t) for t in texts])
-
-    def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        limit = (np.maximum(size[x], size[y]) * (1 - similarity) + 1e-9).astype(np.int64)
-        ok = np.abs(size[x] - size[y]) <= limit
-        some = np.flatnonzero(ok)
-        for lo in range(0, len(some), 1 << 14):
-            k = some[lo : lo + (1 << 14)]
-            ok[k] = np.abs(counts[x[k]].astype(np.int16) - counts[y[k]]).sum(axis=1, dtype=np.int64) <= 4 * limit[k]
-        return ok
-
-    for near in range(radius + 1):
-        for at in range(0, n, step):
-            d = np.bitwise_count(sh[at : at + step, None] ^ sh[None, :])
-            label = np.array([find(k) for k in range(n)])
-            x, y = np.nonzero((d == near) & (label[at : at + step, None] != label[None, :]))
-            x += at
-            ahead = x < y
-            x, y = x[ahead], y[ahead]
-            ahead = possible(x, y)
-            for i, j in zip(x[ahead].tolist(), y[ahead].tolist()):
-                p, q = find(i), find(j)
-                if p != q and similar(texts[i], texts[j], similarity):
-                    parent[max(p, q)] = min(p, q)
-    return np.array([find(k) for k in range(n)])
+    def run(batches):
+        for batch in batches:
+            one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ok = pa.array([similar(a, b, similarity) for a, b in zip(one, two)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+
+    left, right = texts.select(F.col("lh").alias("k1"), F.col("line").alias("one")), texts.select(F.col("lh").alias("k2"), F.col("line").alias("two"))
+    # by the second line first: a line that is the first of many pairs then carries its text last
+    both = pairs.join(right, F.col("mate") == F.col("k2")).join(left, F.col("lh") == F.col("k1"))
+    return both.select("lh", "mate", "one", "two").mapInArrow(run, "a long, b long")
 
 
 def decisions(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
@@ -300,49 +376,33 @@ def decisions(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILAR
     every = scratch.table(lines(docs, min_words))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "sig")
     kinds = scratch.table(every.where("lh is not null").groupBy("lh", "sh").agg(F.min(order).alias("first")))
-    roots = connected(candidate_edges(docs, radius, similarity, min_words))
-    grouped = kinds.join(roots, kinds.sh == roots.node, "left").select("lh", "sh", "first", F.coalesce("root", "sh").alias("root"))
-    many = grouped.withColumn("n", F.count("*").over(W.partitionBy("root"))).where("n > 1")
-    wanted = many.groupBy(F.col("first.doc_id").alias("want_id"), F.col("first.sig").alias("want_sig")).agg(F.collect_list(F.struct("first.line_no", "lh", "sh", "root")).alias("wanted"))
+    told = scratch.table(candidates(docs, radius, similarity, min_words))
+    pairs = scratch.table(told.where("key is null").select("lh", "mate").distinct())
+    members = told.where("key is not null")
+    asked = members.select(F.col("lh").alias("k")).distinct()
+    places = kinds.join(asked, F.col("lh") == F.col("k"), "left_semi").groupBy("lh").agg(F.min("first").alias("first"))
+    wanted = places.groupBy(F.col("first.doc_id").alias("want_id"), F.col("first.sig").alias("want_sig")).agg(F.collect_list(F.struct("first.line_no", "lh")).alias("wanted"))
     held = _identified(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("sig") == F.col("want_sig"))).select("text", "wanted")
 
     def fetch(batches):
         for batch in batches:
             low = vectext.lowered(batch.column(0))
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], []]
             for text, wanted_ in zip(low, batch.column(1)):
                 parts = text.as_buffer().to_pybytes().split(b"\n")
                 for w in wanted_.as_py():
-                    for column, value in zip(out, (w["lh"], w["sh"], w["root"], normalise(parts[w["line_no"]]))):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], ["lh", "sh", "root", "line"])
-
-    met = held.mapInArrow(fetch, "lh long, sh long, root long, line string").repartition(scratch.n_parts(docs.sparkSession), "root")
-
-    def verify(batches):
-        held_ = [b for b in batches if b.num_rows]
-        if not held_:
-            return
-        t = pa.Table.from_batches(held_)
-        lh, sh, root = (t.column(k).to_numpy() for k in range(3))
-        by_line: dict[int, int] = {}
-        for k, x in enumerate(lh.tolist()):  # rows that repeat a document bring its lines again
-            by_line.setdefault(x, k)
-        rows = np.fromiter(by_line.values(), np.int64)
-        rows = rows[np.lexsort((lh[rows], root[rows]))]
-        heads = starts_of(root[rows])
-        column = t.column(3)
-        out = np.zeros(len(rows), np.int64)
-        for at, to in zip(heads.tolist(), np.append(heads[1:], len(rows)).tolist()):
-            some = rows[at:to]
-            label = _verify([column[k].as_py() for k in some.tolist()], sh[some].view(np.uint64), radius, similarity)
-            out[at:to] = lh[some[label]]
-        yield pa.RecordBatch.from_arrays([pa.array(lh[rows]), pa.array(sh[rows]), pa.array(out)], ["lh2", "sh2", "team"])
-
-    teams = met.mapInArrow(verify, "lh2 long, sh2 long, team long")
-    w = W.partitionBy("team")
-    led = kinds.join(teams, (F.col("lh") == F.col("lh2")) & (F.col("sh") == F.col("sh2"))).select("lh2", "sh2", F.min("first").over(w).alias("lead"))
-    leaders = kinds.join(led, (F.col("lh") == F.col("lh2")) & (F.col("sh") == F.col("sh2")), "left").select(F.col("lh").alias("k1"), F.col("sh").alias("k2"), F.coalesce("lead", "first").alias("lead"))
+                    out[0].append(w["lh"])
+                    out[1].append(normalise(parts[w["line_no"]]))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string())], ["lh", "line"])
+
+    # rows that repeat a document bring its lines again
+    texts = scratch.table(held.mapInArrow(fetch, "lh long, line string").groupBy("lh").agg(F.any_value("line").alias("line")))
+    linked = scratch.table(_verified(pairs, texts, similarity))
+    more = _still_apart(members, connected(linked), radius, similarity).join(pairs, ["lh", "mate"], "left_anti")
+    teams = scratch.table(connected(linked.unionByName(_verified(more, texts, similarity))).select(F.col("node").alias("lh2"), F.col("root").alias("team")))
+    led = kinds.join(teams, F.col("lh") == F.col("lh2")).groupBy("team").agg(F.min("first").alias("lead"))
+    teams = teams.join(led, "team").select("lh2", "lead")
+    leaders = kinds.join(teams, F.col("lh") == F.col("lh2"), "left").select(F.col("lh").alias("k1"), F.col("sh").alias("k2"), F.coalesce("lead", "first").alias("lead"))
     own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "sig")
     joined = every.join(leaders, (F.col("lh") == F.col("k1")) & (F.col("sh") == F.col("k2")), "left").withColumn("lead", F.coalesce("lead", own))
     same = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("line_no") == F.col("lead.line_no")) & (F.col("sig") == F.col("lead.sig"))
