@@ -41,10 +41,10 @@ from heronry.llm.vectext import U, components, expand, starts_of
 
 RADIUS, SIMILARITY, MIN_WORDS = 20, 0.8, 1
 #: n-grams that are a line's keys; (bytes of an n-gram, for lines from so many bytes on, up to, bits of the first and second SimHash)
+_PIECE = 1 << 18  # small enough for a processor's cache
 KEYS, GRAMS = 6, ((8, 0, 64, 20, 17), (14, 64, 1 << 62, 16, 14))
 _PRINT = np.dtype([("key", "<u8"), ("lh", "<u8"), ("sh", "<u8"), ("sh5", "<u8"), ("size", "<u2")])
-#: base of the n-grams' hashes modulo 2 ** 64, good for a few bytes
-_BASE = 0x9E3779B97F4A7C15
+_ODD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 _JOIN_WORDS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
 
@@ -61,31 +61,32 @@ def levenshtein_within(a: str, b: str, limit: int) -> bool:
     while end < top - lo and a[-1 - end] == b[-1 - end]:
         end += 1
     a, b = a[lo : len(a) - end], b[lo : len(b) - end]
-    if len(a) > len(b):
+    if len(a) < len(b):  # a step for each character of the shorter one
         a, b = b, a
     m, n = len(a), len(b)
-    if not m or n <= limit:
-        return n <= limit
+    if not n or m <= limit:
+        return m <= limit
     where: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        where[ch] = where.get(ch, 0) | 1 << i
-    full, last = (1 << m) - 1, 1 << (m - 1)
-    up, down, score = full, 0, m
+    bit = 1
+    for ch in a:
+        where[ch] = where.get(ch, 0) | bit
+        bit <<= 1
+    full, last, get = bit - 1, bit >> 1, where.get
+    up, down, score, most = full, 0, m, limit + n - 1
     for j, ch in enumerate(b):
-        eq = where.get(ch, 0)
-        x = eq | down
+        x = get(ch, 0) | down
         d0 = ((((x & up) + up) ^ up) | x) & full
-        hp = down | (full & ~(d0 | up))
+        hp = down | (full ^ (d0 | up))
         hn = up & d0
         if hp & last:
             score += 1
         elif hn & last:
             score -= 1
-        if score - (n - 1 - j) > limit:
+        if score + j > most:
             return False
-        hp = (hp << 1 | 1) & full
+        hp = hp << 1 | 1
         down = hp & d0
-        up = (hn << 1 & full) | (full & ~(d0 | hp))
+        up = (hn << 1 | ~(d0 | hp)) & full
     return score <= limit
 
 
@@ -123,19 +124,11 @@ def distance_at_most(a: str, b: str) -> int:
     return cost
 
 
-def _pair_counts(text: str) -> np.ndarray:
-    """Counts of the character pairs of a text, in 256 classes; an edit changes at most four of them."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.bincount((c[:-1] * 37 + c[1:]) & 255, minlength=256)
-
-
 def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     limit = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
     if abs(len(a) - len(b)) > limit:
         return False
-    if distance_at_most(a, b) <= limit:
-        return True
-    return int(np.abs(_pair_counts(a) - _pair_counts(b)).sum()) <= 4 * limit and levenshtein_within(a, b, limit)
+    return distance_at_most(a, b) <= limit or levenshtein_within(a, b, limit)
 
 
 def normalise(line: bytes) -> str:
@@ -147,19 +140,19 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("sig"), "text")
 
 
-def _whole(p: vectext.Piece, line: np.ndarray, n_lines: int) -> np.ndarray:
+def _whole(p: vectext.Piece, line: np.ndarray, n_lines: int, seed: int = 21) -> np.ndarray:
     """A hash of the words of each line; line tells the line of each word."""
     out = np.zeros(n_lines, np.uint64)
     if len(line):
         heads = starts_of(line)
         place = np.arange(len(line)) - np.repeat(heads, np.diff(np.append(heads, len(line))))
         # of each word and its place a scrambled value, so that no arithmetic of one word undoes another's
-        out[line[heads]] = vectext.mix(np.add.reduceat(vectext.mix(p.hash ^ vectext.mix(place.astype(np.uint64), 23), 21), heads))
+        out[line[heads]] = vectext.mix(np.add.reduceat(vectext.mix(p.hash ^ vectext.mix(place.astype(np.uint64), seed + 2), seed), heads))
     return out
 
 
 def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, sig, line_no, lh, sh) of every line: lh hashes the normalised line, sh is its SimHash; null if it is too short."""
+    """(doc_id, sig, line_no, lh, check) of every line: two hashes of the normalised line; null if it is too short."""
 
     def run(batches):
         for batch in batches:
@@ -175,17 +168,15 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 number = np.arange(len(row)) - first[row]
                 line = first[p.row] + np.searchsorted(breaks, p.start) - np.searchsorted(breaks, p.row_starts)[p.row]
                 n_words = np.bincount(line, minlength=len(row))
-                whole = _whole(p, line, len(row))
-                use = n_words[line] >= min_words
-                print_ = vectext.simhash(vectext.mix(p.hash[use], 22), line[use], len(row))
+                hashes = _whole(p, line, len(row)), _whole(p, line, len(row), 61)
                 short = n_words < min_words
                 keep = present[p.first : p.first + p.n_rows][row]
                 take = pa.array((row + p.first)[keep])
                 yield pa.RecordBatch.from_arrays(
-                    [doc.take(take), sig.take(take), pa.array(number[keep].astype(np.int32)), *(pa.array(x.view(np.int64)[keep], mask=short[keep]) for x in (whole, print_))], ["doc_id", "sig", "line_no", "lh", "sh"]
+                    [doc.take(take), sig.take(take), pa.array(number[keep].astype(np.int32)), *(pa.array(x.view(np.int64)[keep], mask=short[keep]) for x in hashes)], ["doc_id", "sig", "line_no", "lh", "check"]
                 )
 
-    return _identified(docs).mapInArrow(run, "doc_id long, sig long, line_no int, lh long, sh long")
+    return _identified(docs).mapInArrow(run, "doc_id long, sig long, line_no int, lh long, check long")
 
 
 def keys(p: vectext.Piece, line: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, ...]:
@@ -195,23 +186,35 @@ def keys(p: vectext.Piece, line: np.ndarray, similarity: float = SIMILARITY) ->
     at = np.cumsum(size + 1) - size - 1
     text = np.full(int((size + 1).sum()), 32, np.uint8)
     text[expand(at, size)] = p.data[expand(p.start, size)]
-    up, down = (vectext.powers(x, len(text) + 1) for x in (_BASE, pow(_BASE, -1, 2**64)))
-    sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum((text.astype(np.uint64) + U(1)) * up[:-1], out=sums[1:])
     chars = np.append(0, np.cumsum(text & 0xC0 != 0x80))
     heads = starts_of(line)
     begin, end = at[heads], np.append(at[heads[1:]], len(text))[: len(heads)] - 1
     length, found = end - begin, [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
 
-    def hashes(start: np.ndarray, n: int) -> np.ndarray:
-        return vectext.mix((sums[start + n] - sums[start]) * down[start], n)
+    # eight bytes from each place on, as numbers
+    wide = np.ndarray(len(text) + 8, np.dtype("<u8"), np.append(text, np.zeros(16, np.uint8)), strides=(1,))
+
+    def hashes(start: np.ndarray | slice, n: int) -> np.ndarray:
+        if n <= 8:
+            return vectext.mix((wide[start] & U((1 << 8 * n) - 1)) * _ODD[0], n)
+        rest = slice(start.start + n - 8, start.stop + n - 8) if isinstance(start, slice) else start + (n - 8)
+        return vectext.mix(wide[start] * _ODD[0] + wide[rest] * _ODD[1], n)
+
+    def runs(some: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the n-grams of some lines, one after another."""
+        if 2 * int(length[some].sum()) < len(text) or not len(text):
+            return hashes(expand(begin[some], length[some] - n + 1), n)
+        edge = np.zeros(len(text) + 1, np.int8)
+        edge[begin[some]] += 1
+        edge[end[some] - n + 1] -= 1
+        return hashes(slice(0, len(text)), n)[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
 
     for kind, (n, least, most, *_) in enumerate(GRAMS):
         some = np.flatnonzero((length >= n) & (length / similarity >= least) & (length * similarity < most))
         if not len(some):
             continue
         grams = length[some] - n + 1
-        h = hashes(expand(begin[some], grams), n)
+        h = runs(some, n)
         # of a long line only the lowest hashes, about 4 * KEYS, have to be ordered
         low = (np.minimum(1.0, 4.0 * KEYS / grams) * (2.0**63)).astype(np.uint64)
         use = np.flatnonzero(h >> U(1) <= np.repeat(low, grams))
@@ -225,7 +228,7 @@ def keys(p: vectext.Piece, line: np.ndarray, similarity: float = SIMILARITY) ->
         rank = np.arange(len(who)) - np.repeat(firsts, np.diff(np.append(firsts, len(who))))
         found.append((h[rank < KEYS] & ~U(1) | U(kind), who[rank < KEYS]))
     some = np.flatnonzero(length >= 5)
-    five = hashes(expand(begin[some], length[some] - 4), 5)
+    five = runs(some, 5)
     print_ = np.zeros(len(heads), np.uint64)
     print_[some] = vectext.simhash(five, np.repeat(np.arange(len(some)), length[some] - 4), len(some))
     return *(np.concatenate(x) for x in zip(*found)), line[heads], chars[end] - chars[begin], print_
@@ -280,7 +283,7 @@ def candidates(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILA
 
     def emit(batches):
         for batch in batches:
-            for p in vectext.pieces(batch.column(0)):
+            for p in vectext.pieces(batch.column(0), _PIECE):
                 breaks = np.flatnonzero(p.data == 10)
                 line = p.row + np.searchsorted(breaks, p.start)  # ascends by rows and by breaks
                 if not len(line):
@@ -375,7 +378,7 @@ def decisions(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILAR
     """(doc_id, sig, line_no, kept, leader_doc_id, leader_line_no) of every line."""
     every = scratch.table(lines(docs, min_words))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "sig")
-    kinds = scratch.table(every.where("lh is not null").groupBy("lh", "sh").agg(F.min(order).alias("first")))
+    kinds = scratch.table(every.where("lh is not null").groupBy("lh", "check").agg(F.min(order).alias("first")))
     told = scratch.table(candidates(docs, radius, similarity, min_words))
     pairs = scratch.table(told.where("key is null").select("lh", "mate").distinct())
     members = told.where("key is not null")
@@ -402,9 +405,9 @@ def decisions(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILAR
     teams = scratch.table(connected(linked.unionByName(_verified(more, texts, similarity))).select(F.col("node").alias("lh2"), F.col("root").alias("team")))
     led = kinds.join(teams, F.col("lh") == F.col("lh2")).groupBy("team").agg(F.min("first").alias("lead"))
     teams = teams.join(led, "team").select("lh2", "lead")
-    leaders = kinds.join(teams, F.col("lh") == F.col("lh2"), "left").select(F.col("lh").alias("k1"), F.col("sh").alias("k2"), F.coalesce("lead", "first").alias("lead"))
+    leaders = kinds.join(teams, F.col("lh") == F.col("lh2"), "left").select(F.col("lh").alias("k1"), F.col("check").alias("k2"), F.coalesce("lead", "first").alias("lead"))
     own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "sig")
-    joined = every.join(leaders, (F.col("lh") == F.col("k1")) & (F.col("sh") == F.col("k2")), "left").withColumn("lead", F.coalesce("lead", own))
+    joined = every.join(leaders, (F.col("lh") == F.col("k1")) & (F.col("check") == F.col("k2")), "left").withColumn("lead", F.coalesce("lead", own))
     same = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("line_no") == F.col("lead.line_no")) & (F.col("sig") == F.col("lead.sig"))
     return joined.select("doc_id", "sig", "line_no", same.alias("kept"), F.col("lead.doc_id").alias("leader_doc_id"), F.col("lead.line_no").alias("leader_line_no"))
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE, WINDOW, LONG_RUN = 2 << 20, 1 << 18, 1 << 16
+PIECE, WINDOW, LONG_RUN, _BITS = 2 << 20, 1 << 18, 1 << 16, 1 << 14
 U = np.uint64
 
 _WORD = np.zeros(256, bool)
@@ -34,9 +34,6 @@ for _lo, _hi in (("a", "z"), ("A", "Z"), ("0", "9")):
 SOLID = np.ones(256, bool)
 SOLID[[9, 10, 11, 12, 13, 32]] = False
 
-#: byte -> its eight bits as eight one-byte counters
-_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-
 _P = (1 << 61) - 1
 _BASE = 0x1A2F5C3B97D4E861 % _P
 _M30, _M31 = U((1 << 30) - 1), U((1 << 31) - 1)
@@ -245,15 +242,16 @@ def simhash(hashes: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     """64-bit SimHash of the features of each of n segments; ids is non-decreasing. Bit b is set where
     more than half of the features have it; a segment without features gets 0."""
     acc = np.zeros((n, 64), np.int32)
-    for lo in range(0, len(hashes), 1 << 17):
-        part, seg = hashes[lo : lo + (1 << 17)], ids[lo : lo + (1 << 17)]
+    for lo in range(0, len(hashes), _BITS):
+        part, seg = hashes[lo : lo + _BITS], ids[lo : lo + _BITS]
         runs = starts_of(seg)
         lengths = np.diff(np.append(runs, len(seg)))
         if lengths.max() > 255:  # a one-byte counter holds 255
             extra = -(-lengths // 255)
             runs = np.repeat(runs, extra) + 255 * (np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra))
             lengths = np.diff(np.append(runs, len(seg)))
-        counts = np.add.reduceat(_LANES[np.ascontiguousarray(part).view(np.uint8).reshape(-1, 8)], runs, axis=0)
+        bits = np.unpackbits(np.ascontiguousarray(part).view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)  # eight one-byte counters each
+        counts = np.add.reduceat(bits, runs, axis=0)
         signed = 2 * counts.view(np.uint8).reshape(len(runs), 64).astype(np.int32) - lengths[:, None].astype(np.int32)
         owner = seg[runs]
         heads = starts_of(owner)
