@@ -281,7 +281,7 @@ def candidates(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILA
     """Of each key with close lines: its members (key, lh, sh, sh5, size) and, with key null, pairs (lh, mate), lh < mate,
     a minimum spanning forest of the close ones by SimHash distance."""
 
-    def emit(batches):
+    def sent(batches):
         for batch in batches:
             for p in vectext.pieces(batch.column(0), _PIECE):
                 breaks = np.flatnonzero(p.data == 10)
@@ -299,8 +299,20 @@ def candidates(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILA
                 own = np.searchsorted(lines_, who)
                 out["key"], out["lh"], out["size"] = h, _whole(p, line, n_lines)[who], np.minimum(chars[own], 65535)
                 out["sh"], out["sh5"] = print_[who], fives[own]
-                out = _distinct(out)
+                yield out
+
+    def emit(batches):
+        held, size = [], 0
+        for out in sent(batches):
+            held.append(out)
+            size += len(out)
+            if size > 1 << 18:
+                out = _distinct(np.concatenate(held))
                 yield vectext.mix(out["key"], 5), out
+                held, size = [], 0
+        if held:
+            out = _distinct(np.concatenate(held))
+            yield vectext.mix(out["key"], 5), out
 
     def reduce(records):
         records = _distinct(records)

@@ -111,7 +111,8 @@ def _chosen(rows: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
     """rows (doc_id, source, n_tokens, ...) once for each epoch they are chosen in."""
     joined = rows.alias("r").join(planned.select(F.col("source").alias("s_source"), "total", "budget", "epochs", "bound"), F.col("r.source").eqNullSafe(F.col("s_source")) & (F.col("n_tokens") > 0))
     n = F.col("epochs") + (_key(F.col("epochs"), F.col("r.doc_id"), seed) <= F.col("bound")).cast("long")
-    return joined.withColumn("n", n).where("n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    joined = joined.withColumn("n", n).withColumn("ratio", F.col("budget") / F.col("total")).where("n > 0")
+    return joined.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -122,20 +123,35 @@ def mix(docs: DataFrame, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, **t
     """(doc_id, source, n_tokens, epoch, block, place): the chosen documents; block and place give their order."""
     narrow = scratch.table(_narrow(docs))
     planned = scratch.table(plan(narrow, seed, **target))
-    whole = planned.agg(F.coalesce(F.sum("budget"), F.lit(0))).first()[0]
-    blocks = max(1, -(-whole // block_tokens))
-    key = _key(F.col("epoch"), F.col("doc_id"), seed)
-    along = (F.col("epoch") + key / F.lit(2.0**60)) / (F.col("budget") / F.col("total"))
-    spread = _chosen(narrow, planned, seed).select("doc_id", "source", "n_tokens", "epoch", F.least(F.floor(along * blocks), F.lit(blocks - 1)).cast("long").alias("block"), key.alias("key"))
-    place = F.row_number().over(W.partitionBy("block").orderBy(F.md5(F.concat_ws(":", F.col("block").cast("string"), F.col("key").cast("string"))), "doc_id", "epoch", "source", "n_tokens"))
+    blocks = _blocks(planned, block_tokens)
+    spread = _spread(_chosen(narrow, planned, seed), blocks, seed).select("r.doc_id", "r.source", "n_tokens", "epoch", "block", "shuffled")
+    place = F.row_number().over(W.partitionBy("block").orderBy("shuffled", "doc_id", "epoch", "source", "n_tokens"))
     return spread.select("doc_id", "source", "n_tokens", "epoch", "block", place.cast("long").alias("place"))
 
 
-def mixed(docs: DataFrame, seed: int = SEED, **target) -> DataFrame:
-    """The chosen rows of docs with all their columns, a row once for each epoch it is chosen in."""
+def _blocks(planned: DataFrame, block_tokens: int) -> int:
+    whole = planned.agg(F.coalesce(F.sum("budget"), F.lit(0))).first()[0]
+    return max(1, -(-whole // block_tokens))
+
+
+def _spread(chosen: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """With block, and shuffled, by which a block's rows are ordered."""
+    key = _key(F.col("epoch"), F.col("r.doc_id"), seed)
+    along = (F.col("epoch") + key / F.lit(2.0**60)) / F.col("ratio")
+    placed = chosen.withColumn("block", F.least(F.floor(along * blocks), F.lit(blocks - 1)).cast("long"))
+    return placed.withColumn("shuffled", F.md5(F.concat_ws(":", F.col("block").cast("string"), key.cast("string"))))
+
+
+def mixed(docs: DataFrame, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, **target) -> DataFrame:
+    """The chosen rows of docs with all their columns, a row once for each epoch it is chosen in, block after block
+    and permuted inside each: the partitions in turn have the order of mix()."""
     planned = scratch.table(plan(scratch.table(_narrow(docs)), seed, **target))  # as a file, so that the join knows it is small
-    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").alias("source"), n_tokens(F.col("row.text")).alias("n_tokens"))
-    return _chosen(rows, planned, seed).select("row.*")
+    blocks, n = _blocks(planned, block_tokens), scratch.n_parts(docs.sparkSession)
+    # columns are renamed, so that none clashes with those of the plan
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_tokens(F.col("text")).alias("n_tokens"), *(F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(docs.columns)))
+    spread = _spread(_chosen(rows, planned, seed), blocks, seed)
+    at = F.floor(F.col("block") * n / F.lit(blocks)).cast("int")
+    return spread.repartitionById(n, at).sortWithinPartitions("block", "shuffled", "r.doc_id", "epoch", "r.source", "n_tokens").select(*(F.col(f"own_{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 SQL = f"""

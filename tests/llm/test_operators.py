@@ -73,6 +73,8 @@ def test_mixed_is_mix(spark):
     want = {(r.doc_id, r.source): r["count"] for r in mixing.mix(docs).groupBy("doc_id", "source").count().collect()}
     got = {(r.doc_id, r.source): r["count"] for r in mixing.mixed(docs).groupBy("doc_id", "source").count().collect()}
     assert got == want and mixing.mixed(docs).columns == docs.columns
+    order = [r.doc_id for r in mixing.mix(docs, block_tokens=500).orderBy("block", "place").collect()]
+    assert [r.doc_id for r in mixing.mixed(docs, block_tokens=500).collect()] == order
 
 
 # --- bytes
