@@ -123,14 +123,16 @@ def _stages(df: DataFrame, *stages: Column) -> DataFrame:
     return listed.select("query_id", "s.*")
 
 
-def trace(dense_hits: DataFrame, bm25_hits: DataFrame, k: int = K, mode: str = "off", pool: int = POOL, reranker=None) -> DataFrame:
+def trace(dense_hits: DataFrame, bm25_hits: DataFrame, k: int = K, mode: str = "off", pool: int = POOL, reranker=None, extra: dict[str, DataFrame] | None = None) -> DataFrame:
     """Every stage of a hybrid search in long form: (query_id, stage, rank, id, score, dense, bm25, rrf, rerank).
 
     Each hit of a retriever is a row of the fusion, with its score and rank there, so all stages are unfolded from
     one table and each retriever runs once. reranker takes candidates (query_id, id, rrf, dense, bm25, rank) below
     the pool size and returns them with a new rank and a rerank score. Scores stay those of the fusion; the order
-    is rank. A query is reranked iff it has more than k candidates."""
-    fused = rrf(rankings(dense=dense_hits, bm25=bm25_hits), ["dense", "bm25"])
+    is rank. A query is reranked iff it has more than k candidates. Further retrievers' hits come as extra, by name;
+    each has its stage and its share in the fusion."""
+    extra = extra or {}
+    fused = rrf(rankings(dense=dense_hits, bm25=bm25_hits, **extra), ["dense", "bm25", *extra])
     reranking = mode != "off" and reranker is not None
     opened = (F.count("*").over(W.partitionBy("query_id")) > k) & F.lit(reranking)
     fused = fused.withColumn("opened", opened)
@@ -139,6 +141,7 @@ def trace(dense_hits: DataFrame, bm25_hits: DataFrame, k: int = K, mode: str = "
         fused,
         _stage("dense", F.col("dense_rank"), F.col("dense"), F.col("dense_rank").isNotNull(), ("dense",)),
         _stage("bm25", F.col("bm25_rank"), F.col("bm25"), F.col("bm25_rank").isNotNull(), ("bm25",)),
+        *(_stage(name, F.col(f"{name}_rank"), F.col(name), F.col(f"{name}_rank").isNotNull(), ()) for name in extra),
         _stage("fused", rank, rrf_, F.lit(True), ("dense", "bm25", "rrf")),
         _stage("final", rank, rrf_, (rank < k) & ~F.col("opened"), ("dense", "bm25", "rrf")),
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -142,3 +142,25 @@ def situate(prompted: DataFrame, provider, concurrency: int = 4) -> DataFrame:
 def report(situated: DataFrame) -> DataFrame:
     """(doc_id, chunks, context_tokens, cached_tokens, excerpted)."""
     return situated.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("context_tokens"), F.sum("cached_tokens").alias("cached_tokens"), F.bool_or("excerpted").alias("excerpted"))
+
+
+def cache_ratio(reported: DataFrame) -> DataFrame:
+    """A report with cache_ratio, the share of its tokens that came from the provider's cache."""
+    return reported.withColumn("cache_ratio", F.col("cached_tokens") / F.greatest(F.lit(1), F.col("context_tokens")))
+
+
+def situate_one(spark: SparkSession, document: str, chunk: str, provider, doc_cap: int = DOC_CAP) -> dict:
+    """Context, embed_text and tokens of one chunk of a document. A document beyond doc_cap tokens is shown as what
+    is around the chunk, doc_cap tokens at most."""
+    limit = doc_cap * 4
+    if len(document) > limit:
+        at = max(0, document.find(chunk))
+        start = max(0, min(at + len(chunk) // 2 - limit // 2, len(document) - limit))
+        shown, prompt = document[start : start + limit], excerpt_prompt
+    else:
+        shown, prompt = document, whole_prompt
+    row = spark.createDataFrame([(shown, chunk)], "document string, text string")
+    reply = provider.chat(row.select(prompt(F.col("document"), F.col("text"))).first()[0], temperature=0.0)
+    said = spark.createDataFrame([(reply.text, chunk)], "reply string, text string").select(T.clean_context(F.col("reply")).alias("context"), "text")
+    out = said.select("context", T.embed_text(F.col("context"), F.col("text")).alias("embed_text")).first().asDict()
+    return {**out, "prompt_tokens": reply.prompt_tokens, "completion_tokens": reply.completion_tokens, "cached_tokens": reply.cached_tokens}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from heronry.functions import text as T
 from heronry.operators import answer, evaluate, fusion, lexical, pagetext, rerank, segment, situate
 from heronry.sources import documents as sources
-from heronry.sources.corpus import record
+from heronry.sources.corpus import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -439,16 +441,30 @@ def mode_switch(spark, sf_dir):
 # --- store, answers, evaluation
 
 
+def _store(spark: SparkSession, rows: DataFrame) -> Store:
+    """A collection of rows, in the folder that executors share, until the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="heronry-store-")
+    store = Store(spark, uuid.uuid4().hex, f"{base}/collections")
+    store.add(rows)
+    store.delete_on_exit()
+    return store
+
+
 @query("SELECT doc_id::VARCHAR AS doc_id, text, '' AS context FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) UNION ALL SELECT doc_id::VARCHAR, 'quality ' || max(quality), '' FROM labels GROUP BY doc_id")
 def upsert_merge(spark, sf_dir):
-    old = record(_docs(spark, sf_dir).select("doc_id", "text"))
-    new = record(_read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.concat(F.lit("quality "), F.max("quality").cast("string")).alias("text")))
-    return old.join(new.select("doc_id"), "doc_id", "left_anti").select(*old.columns).unionByName(new).select("doc_id", "text", "context")
+    store = _store(spark, _docs(spark, sf_dir).select("doc_id", "text"))
+    store.add(_read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.concat(F.lit("quality "), F.max("quality").cast("string")).alias("text")))
+    return store.records().select("doc_id", "text", "context")
 
 
 @query("SELECT DISTINCT source FROM documents")
 def doc_ids_distinct(spark, sf_dir):
-    return _docs(spark, sf_dir).select("source").distinct()
+    return _store(spark, _docs(spark, sf_dir).select(F.col("source").alias("doc_id"), "text")).doc_ids().select(F.col("doc_id").alias("source"))
+
+
+@query("SELECT count(*)::BIGINT AS n FROM documents")
+def store_count(spark, sf_dir):
+    return spark.createDataFrame([(_store(spark, _docs(spark, sf_dir).select("doc_id", "text")).count(),)], "n long")
 
 
 @query("SELECT source, count(*)::BIGINT AS n FROM documents GROUP BY source")
@@ -458,12 +474,15 @@ def collection_count(spark, sf_dir):
 
 @query("SELECT doc_id, text FROM documents WHERE doc_id = 7")
 def point_lookup(spark, sf_dir):
-    return _docs(spark, sf_dir).where("doc_id = 7").select("doc_id", "text")
+    store = _store(spark, _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", "text"))
+    return store.get("7").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def resume_anti_join(spark, sf_dir):
-    return _docs(spark, sf_dir).join(_read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_chars")
+    done = _store(spark, _read(spark, sf_dir, "labels").select("doc_id", F.lit("done").alias("text")))
+    left = done.missing(_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "n_chars"))
+    return left.select(F.col("doc_id").cast("long").alias("doc_id"), "n_chars")
 
 
 @query(r"""WITH a AS (SELECT DISTINCT url, regexp_replace(regexp_replace('domain_' || url, '[^a-zA-Z0-9._-]', '_', 'g'), '\.\.+', '_', 'g') AS safe FROM pages)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,25 +74,51 @@ class Retrieval:
         q = self.spark.createDataFrame([("q", query)], "query_id string, query string") if isinstance(query, str) else query.select("query_id", "query")
         return q.withColumn("vector", self.provider.embed_column(F.col("query")))
 
-    def search_trace(self, query: str | DataFrame, k: int = 8, doc_id: str | None = None) -> DataFrame:
-        """Every stage of the search; statistics of a search in one document are those of that document."""
+    def _parts(self, query: str | DataFrame, doc_id: str | None):
         records, index = self._corpus()
         if doc_id:
             records = records.where(F.col("doc_id") == doc_id)
             index = lexical.build(records.select("id", "ord", F.col("embed_text").alias("text")))
-        queries = self._queries(query)
-        reranker = None if self.rerank_mode == "off" else rerank.model_reranker(queries, records, self.provider, self.rerank_mode)
-        return fusion.hybrid(records, index, queries, k, mode=self.rerank_mode, reranker=reranker)
+        return records, index, self._queries(query)
+
+    def _reranker(self, queries: DataFrame, records: DataFrame, top_k: int | None):
+        return None if self.rerank_mode == "off" else rerank.model_reranker(queries, records, self.provider, self.rerank_mode, top_k)
+
+    def search_trace(self, query: str | DataFrame, k: int = 8, doc_id: str | None = None, dense_k: int = fusion.DENSE_K, bm25_k: int = fusion.BM25_K, rerank_pool: int = fusion.POOL, rerank_top_k: int | None = None, extra: dict[str, DataFrame] | None = None) -> DataFrame:
+        """Every stage of the search; statistics of a search in one document are those of that document. extra has
+        hits (query_id, id, score, rank) of further retrievers, by name."""
+        records, index, queries = self._parts(query, doc_id)
+        return fusion.hybrid(records, index, queries, k, dense_k, bm25_k, mode=self.rerank_mode, pool=rerank_pool, reranker=self._reranker(queries, records, rerank_top_k), extra=extra)
+
+    def timed_trace(self, query: str | DataFrame, k: int = 8, doc_id: str | None = None, dense_k: int = fusion.DENSE_K, bm25_k: int = fusion.BM25_K, rerank_pool: int = fusion.POOL) -> tuple[DataFrame, dict[str, float]]:
+        """The trace and the milliseconds that dense search, lexical search and the rest (fusion, and reranking if on) took.
+        Stages are run one after another for it, over all questions, so it is slower than search_trace()."""
+        records, index, queries = self._parts(query, doc_id)
+        took: dict[str, float] = {}
+
+        def run(name: str, df: DataFrame) -> DataFrame:
+            began = time.perf_counter()
+            held = df.persist()
+            held.count()
+            took[name] = (time.perf_counter() - began) * 1000
+            return held
+
+        queries = run("embed", queries)
+        one, two = run("dense", fusion.dense(records, queries, dense_k, False)), run("bm25", lexical.search(index, queries, bm25_k))
+        out = run("fusion" if self.rerank_mode == "off" else "fusion_rerank", fusion.trace(one, two, k, self.rerank_mode, rerank_pool, self._reranker(queries, records, None)))
+        for held in (queries, one, two):
+            held.unpersist()
+        return out, took
 
-    def search(self, query: str | DataFrame, k: int = 8, doc_id: str | None = None) -> DataFrame:
-        """The final hits with their records, in order of (query_id, rank)."""
-        hits = self.search_trace(query, k, doc_id).where("stage = 'final'").drop("stage")
+    def search(self, query: str | DataFrame, k: int = 8, doc_id: str | None = None, **how) -> DataFrame:
+        """The final hits with their records, in order of (query_id, rank); how is as in search_trace()."""
+        hits = self.search_trace(query, k, doc_id, **how).where("stage = 'final'").drop("stage")
         return hits.join(self._corpus()[0].drop("ord", "scope", "embedding"), "id").orderBy("query_id", "rank")
 
-    def ask(self, query: str | DataFrame, k: int = 6, doc_id: str | None = None) -> DataFrame:
+    def ask(self, query: str | DataFrame, k: int = 6, doc_id: str | None = None, **how) -> DataFrame:
         """(query_id, text, sources)."""
         records, _ = self._corpus()
-        hits = self.search_trace(query, k, doc_id).where("stage = 'final'")
+        hits = self.search_trace(query, k, doc_id, **how).where("stage = 'final'")
         queries = self._queries(query).select("query_id", "query")
         return answer.answers(answer.prompts(queries, answer.sources(hits, records)), self.provider)
 

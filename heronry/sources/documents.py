@@ -57,7 +57,7 @@ PROMPT = "Write this page as Markdown: its text in reading order, headings, tabl
 
 
 def pages_to_documents(pages: DataFrame, provider, max_pages: int | None = None, mode: str = "auto") -> DataFrame:
-    """(doc_id, page_markdown, pages, total_pages, routes, markdown) of pages (doc_id, page, text, figure, image).
+    """(doc_id, page_markdown, pages, total_pages, routes, markdown, model, prompt_tokens, completion_tokens) of pages (doc_id, page, text, figure, image).
     Clean prose without figures comes from the text layer; other pages, or all with mode 'vision', from the
     provider. Pages after max_pages are left out."""
     if mode not in ("auto", "vision"):
@@ -70,16 +70,20 @@ def pages_to_documents(pages: DataFrame, provider, max_pages: int | None = None,
 
     def read(batches):
         for frame in batches:
-            frame["markdown"] = [provider.transcribe(bytes(x or b""), PROMPT).text for x in frame["image"]]
-            yield frame[["doc_id", "page", "markdown"]]
+            replies = [provider.transcribe(bytes(x or b""), PROMPT) for x in frame["image"]]
+            for column, name in (("markdown", "text"), ("model", "model"), ("prompt_tokens", "prompt_tokens"), ("completion_tokens", "completion_tokens")):
+                frame[column] = [getattr(r, name) for r in replies]
+            yield frame[["doc_id", "page", "markdown", "model", "prompt_tokens", "completion_tokens"]]
 
     seen = routed.where("route = 'vision'").select("doc_id", "page", "image")
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("doc_id", "page")}
-    seen = seen.mapInPandas(read, f"doc_id {kinds['doc_id']}, page {kinds['page']}, markdown string")
-    both = plain.select("id.doc_id", "id.page", "markdown", F.lit("text").alias("route")).unionByName(seen.withColumn("route", F.lit("vision")))
+    seen = seen.mapInPandas(read, f"doc_id {kinds['doc_id']}, page {kinds['page']}, markdown string, model string, prompt_tokens long, completion_tokens long")
+    none = [F.lit("").alias("model"), *(F.lit(0).cast("long").alias(c) for c in ("prompt_tokens", "completion_tokens"))]
+    both = plain.select("id.doc_id", "id.page", "markdown", *none, F.lit("text").alias("route")).unionByName(seen.withColumn("route", F.lit("vision")))
     ordered = F.sort_array(F.collect_list(F.struct("page", "markdown", "route")))
-    docs = both.groupBy("doc_id").agg(ordered.alias("p")).select("doc_id", F.transform("p", lambda x: x["markdown"]).alias("page_markdown"), F.transform("p", lambda x: x["route"]).alias("routes"))
-    return docs.join(total, "doc_id").select("doc_id", "page_markdown", F.size("page_markdown").alias("pages"), "total_pages", "routes", F.array_join("page_markdown", "\n\n").alias("markdown"))
+    used = [F.max("model").alias("model"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens")]
+    docs = both.groupBy("doc_id").agg(ordered.alias("p"), *used).select("doc_id", "model", "prompt_tokens", "completion_tokens", F.transform("p", lambda x: x["markdown"]).alias("page_markdown"), F.transform("p", lambda x: x["route"]).alias("routes"))
+    return docs.join(total, "doc_id").select("doc_id", "page_markdown", F.size("page_markdown").alias("pages"), "total_pages", "routes", F.array_join("page_markdown", "\n\n").alias("markdown"), "model", "prompt_tokens", "completion_tokens")
 
 
 def parse(files: DataFrame, provider, parser: str | None = None, **options) -> DataFrame:
@@ -89,7 +93,7 @@ def parse(files: DataFrame, provider, parser: str | None = None, **options) -> D
         return pages_to_documents(_page_readers[parser](files), provider, **options)
     if parser in _layout_readers:
         read = _layout_readers[parser](files)
-        return read.select("doc_id", F.array("markdown").alias("page_markdown"), "pages", F.col("pages").alias("total_pages"), F.array(F.lit(parser)).alias("routes"), "markdown")
+        return read.select("doc_id", F.array("markdown").alias("page_markdown"), "pages", F.col("pages").alias("total_pages"), F.array(F.lit(parser)).alias("routes"), "markdown", F.lit("").alias("model"), *(F.lit(0).cast("long").alias(c) for c in ("prompt_tokens", "completion_tokens")))
     raise ParseError(f"no reader is registered for {parser!r}")
 
 

@@ -147,3 +147,77 @@ def test_catalogue_has_an_oracle_for_each_query():
 
     assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"hashed_embedding", "pass_at_k"}
     assert F.lit(1) is not None
+
+
+def test_store_writers_and_readers(spark, tmp_path):
+    import pytest
+
+    from heronry.sources.corpus import WriteConflict
+
+    rows = lambda *r: spark.createDataFrame(r, "chunk_id string, doc_id string, text string")
+    store = Store(spark, "shared", str(tmp_path))
+    store.add(rows(*((f"d{k}::0", f"d{k}", "old") for k in range(40))))
+    before, folders = store._number(), store._folders(store._number())
+    store.add(rows(("d3::0", "d3", "new")))
+    after = store._folders(store._number())
+    assert sum(after[b] != folders[b] for b in folders) == 1 and after.keys() == folders.keys()  # one bucket is rewritten
+    assert store.count() == 40 and store.get("d3::0").first().text == "new"
+    with pytest.raises(WriteConflict):  # a writer that began before that
+        store._publish(folders, before)
+    assert store.get("d3::0").first().text == "new"
+    number = store._number()
+    (tmp_path / store.root.rsplit("/", 1)[1] / f"CURRENT.{number + 1}").touch()  # a writer that died, or hasn't written yet
+    assert store._number() == number and store.count() == 40
+    with pytest.raises(WriteConflict):
+        store.reset()
+    store.vacuum()
+    store.reset()
+    assert store.count() == 0
+
+
+def test_facade_knobs(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rag = Retrieval(spark, "knobs", str(tmp_path), rerank_mode="llm")
+    rag.ingest(spark.createDataFrame([("a.md", PAPER_A), ("b.md", PAPER_B)], "doc_id string, markdown string"))
+    stages = lambda df: {r.stage: r["count"] for r in df.groupBy("stage").count().collect()}
+    got = stages(rag.search_trace("metres of ice in a year", k=2, dense_k=3, bm25_k=1, rerank_pool=3))
+    assert got["dense"] == 3 and got["bm25"] == 1 and got["reranked"] == 3 and got["final"] == 2
+    assert stages(rag.search_trace("metres of ice in a year", k=2, rerank_top_k=1))["final"] == 1
+    mine = rag.store.records().limit(1).select(F.lit("q").alias("query_id"), F.col("chunk_id").alias("id"), F.lit(1.0).alias("score"), F.lit(0).alias("rank"))
+    assert stages(rag.search_trace("metres", k=2, extra={"mine": mine}))["mine"] == 1
+    out, took = rag.timed_trace("metres of ice in a year", k=2)
+    assert stages(out)["final"] == 2 and set(took) == {"embed", "dense", "bm25", "fusion_rerank"} and all(x > 0 for x in took.values())
+
+
+def test_pdf_pages_by_a_stand_in():
+    import types
+
+    import pytest
+
+    from heronry.sources import pdf
+
+    class Page:
+        images = []
+
+        def extract_text(self):
+            return "Some text."
+
+    good = types.SimpleNamespace(PdfReader=lambda held: types.SimpleNamespace(pages=[Page(), Page()]))
+    assert [p[:3] for p in pdf.read_pages(b"x", good)] == [(1, "Some text.", False), (2, "Some text.", False)]
+
+    def broken(held):
+        raise RuntimeError("no")
+
+    with pytest.raises(documents.ParseError):
+        pdf.read_pages(b"x", types.SimpleNamespace(PdfReader=broken))
+
+
+def test_exact_counts():
+    import pickle
+
+    from heronry.functions.tokens import ExactCounter
+
+    count = pickle.loads(pickle.dumps(ExactCounter("/opt/tokenizers/byte_bpe_50k.tiktoken")))
+    assert count("") == 0 and 1 <= count("hello world") <= 11
+    assert ExactCounter("/nowhere")("four" * 4) == 4
