@@ -35,7 +35,8 @@ from heronry.llm.hamming import block_edges, block_values, star_edges
 from heronry.llm.vectext import U, expand, starts_of
 
 RADIUS, BOTH, BLOCKS, LONG_WORD = 20, 20, 5, 4
-_NODE = np.dtype([("key", "<i4"), ("asks", "?"), ("node", "<i8"), ("h1", "<u8"), ("h2", "<u8")])
+#: key: shard and value, and in the last bit whether the fingerprint asks or holds the value
+_NODE = np.dtype([("key", "<u4"), ("h1", "<u8"), ("h2", "<u8")])
 
 
 class BKTree:
@@ -140,18 +141,18 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, both: int = BOTH, blocks
                 lengths = (first[1:] - first[:-1])[inverse]
                 who = np.concatenate([np.arange(len(h1)), np.repeat(np.arange(len(h1)), lengths)])
                 out = np.zeros(len(who), _NODE)
-                out["key"] = np.concatenate([own, near[expand(first[:-1][inverse], lengths)]]) | k << 20
-                out["asks"][len(h1) :] = True
+                at = np.concatenate([own, near[expand(first[:-1][inverse], lengths)]]) | k << 20
+                out["key"] = at << 1
+                out["key"][len(h1) :] |= 1
                 out["h1"], out["h2"] = h1[who], h2[who]
-                out["node"] = _node(out["h1"], out["h2"])
-                yield vectext.mix(out["key"].astype(np.uint64), 5), out
+                yield vectext.mix(at.astype(np.uint64), 5), out
 
     def reduce(records):
-        records = records[np.lexsort((records["asks"], records["key"]))]
-        nodes, index = np.unique(records["node"], return_inverse=True)
-        heads = starts_of(records["key"])
+        records = records[np.argsort(records["key"], kind="stable")]  # of a value, holders come first
+        nodes, index = np.unique(_node(records["h1"], records["h2"]), return_inverse=True)
+        heads = starts_of(records["key"] >> 1)
         ends = np.append(heads[1:], len(records))
-        holders = np.add.reduceat(~records["asks"], heads)
+        holders = np.add.reduceat(1 - (records["key"] & 1).astype(np.int64), heads)
         a, b, held = [], [], 0
         for at, to, n in zip(heads.tolist(), ends.tolist(), holders.tolist()):
             rows = max(1, (1 << 20) // max(1, to - at))
@@ -170,7 +171,9 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, both: int = BOTH, blocks
         x, y = star_edges(len(nodes), a, b)
         yield pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], ["a", "b"])
 
-    return scratch.shuffle(prints.distinct(), emit, _NODE, reduce, "a long, b long")
+    # a few bytes a fingerprint, but much to search: as many tasks as partitions, however small they are
+    spread = prints.repartition(scratch.n_parts(spark), "h1", "h2").distinct()
+    return scratch.shuffle(spread, emit, _NODE, reduce, "a long, b long")
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, both: int = BOTH, blocks: int = BLOCKS) -> DataFrame:
