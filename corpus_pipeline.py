@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences: five stages, each written as Parquet and read again."""
+"""From raw documents to packed training sequences: five stages, each written as Parquet and read again.
+
+Each stage works on all rows of its predecessor. Null and empty texts, null doc_ids, repeated rows, empty tables and
+other columns are handled as the stage's operator says in its docstring.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +27,7 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight has them."""
+    """Documents as often as their source's weight has them, block after block, permuted in each."""
     return mixing.mixed(docs)
 
 
@@ -46,6 +50,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir))
+        with scratch.scope(spark):  # what the stage wrote on its way goes
+            docs = scratch.table(stage(spark, docs, sf_dir), keep=True)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs
