@@ -72,22 +72,25 @@ def levenshtein_within(a: str, b: str, limit: int) -> bool:
         where[ch] = where.get(ch, 0) | bit
         bit <<= 1
     full, last, get = bit - 1, bit >> 1, where.get
-    up, down, score, most = full, 0, m, limit + n - 1
-    for j, ch in enumerate(b):
+    # left: the limit less the distance so far, were each character to come to take one off it; d0 and down may have a bit beyond full
+    up, down, left = full, 0, limit + n - m
+    for ch in b:
         x = get(ch, 0) | down
-        d0 = ((((x & up) + up) ^ up) | x) & full
+        d0 = (((x & up) + up) ^ up) | x
         hp = down | (full ^ (d0 | up))
         hn = up & d0
         if hp & last:
-            score += 1
-        elif hn & last:
-            score -= 1
-        if score + j > most:
-            return False
+            left -= 2
+            if left < 0:
+                return False
+        elif not hn & last:
+            left -= 1
+            if left < 0:
+                return False
         hp = hp << 1 | 1
         down = hp & d0
         up = (hn << 1 | ~(d0 | hp)) & full
-    return score <= limit
+    return True
 
 
 def _common(a: str, b: str) -> int:
@@ -219,7 +222,8 @@ def keys(p: vectext.Piece, line: np.ndarray, similarity: float = SIMILARITY) ->
         low = (np.minimum(1.0, 4.0 * KEYS / grams) * (2.0**63)).astype(np.uint64)
         use = np.flatnonzero(h >> U(1) <= np.repeat(low, grams))
         h, who = h[use], np.repeat(line[heads[some]], grams)[use]
-        order = np.lexsort((h, who))
+        nth = np.repeat(np.arange(len(some), dtype=np.uint64), grams)[use]
+        order = np.argsort(nth << U(44) | h >> U(20))  # hashes of a line that are equal so far may stand in any order
         h, who = h[order], who[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
@@ -316,6 +320,7 @@ def candidates(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILA
 
     def reduce(records):
         records = _distinct(records)
+        records = records[np.argsort(records["key"])]
         a, b = records["lh"], np.zeros(0, np.int64)
         i = j = b
         member = np.zeros(len(records), bool)
@@ -338,10 +343,10 @@ def candidates(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILA
 
 
 def _distinct(records: np.ndarray) -> np.ndarray:
-    """One record of each key and line, ordered by key."""
-    _, first = np.unique(vectext.mix(records["key"] ^ vectext.mix(records["lh"], 51), 52), return_index=True)
-    records = records[first]
-    return records[np.lexsort((records["lh"], records["key"]))]
+    """One record of each key and line, in any order."""
+    both = vectext.mix(records["key"] ^ vectext.mix(records["lh"], 51), 52)
+    by = np.argsort(both)  # records of one key and line are equal, so any of them will do
+    return records[by[starts_of(both[by])]]
 
 
 def _still_apart(members: DataFrame, groups: DataFrame, radius: int, similarity: float) -> DataFrame:
