@@ -15,11 +15,11 @@ compared by equality.
 Plan. Equal lines collapse in one aggregation. Each line's SimHashes are sent to its KEYS, where pairs that share a
 key are compared as arrays; a key sends back its members and a minimum spanning forest of its close pairs by
 SimHash distance, so a family of n variants costs n pairs, not n * n, and most of its keys give the same ones. Each
-distinct pair is verified by itself, wherever, so neither a family nor a chain of candidates gathers in one task.
+distinct pair is verified by itself, with others of about its length, so neither a family nor a chain of candidates gathers in one task.
 What is similar is connected; then the keys send the close pairs that are still in different groups, and these are
-verified too. So every close pair that shares a key is verified unless it is connected already. A pair is first held
-to be similar by an alignment along common substrings, whose cost bounds the edit distance from above, then ruled out
-by counts of character pairs, and only else measured. Only lines that have a candidate have their texts fetched.
+verified too. So every close pair that shares a key is verified unless it is connected already. A pair of the first
+kind is first held to be similar by an alignment along common substrings, whose cost bounds the edit distance from above;
+what is left is measured, many pairs at once, each until its limit can't be kept any more. Only lines that have a candidate have their texts fetched.
 
 Cases: a null text stays null and has no lines in the result; an empty text has one, empty, line. A null
 doc_id is compared like any other and comes last as an occurrence to keep. Rows that repeat doc_id and
@@ -29,6 +29,9 @@ and drops a document all of whose lines were duplicates. An empty table gives an
 
 from __future__ import annotations
 
+from dataclasses import replace
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,6 +46,8 @@ RADIUS, SIMILARITY, MIN_WORDS = 20, 0.8, 1
 #: n-grams that are a line's keys; (bytes of an n-gram, for lines from so many bytes on, up to, bits of the first and second SimHash)
 _PIECE = 1 << 18  # small enough for a processor's cache
 KEYS, GRAMS = 6, ((8, 0, 64, 20, 17), (14, 64, 1 << 62, 16, 14))
+_TOGETHER, _TABLE = 2048, 1 << 25  # pairs measured at once, and bytes of their tables
+_MET = 1 << 18  # lines that a task remembers
 _PRINT = np.dtype([("key", "<u8"), ("lh", "<u8"), ("sh", "<u8"), ("sh5", "<u8"), ("size", "<u2")])
 _ODD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
 _JOIN_WORDS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -134,6 +139,145 @@ def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return distance_at_most(a, b) <= limit or levenshtein_within(a, b, limit)
 
 
+def _measured(a: list[str], b: list[str], limits: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair is at most its limit. Bit-parallel as levenshtein_within is, 64 characters of
+    a to a block, for all pairs at once and only in blocks that so few edits can reach; at step t block w is at character
+    t - w of b, so the blocks of a step don't wait for one another. No b is longer than its a, or shorter by more than the
+    limit, and a limit is 1 at least. Both get the same beginning, which leaves their distance alone, so that all a are of one length."""
+    n, sizes, sizes_b = len(a), np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    m, band = int(sizes.max()), int(limits.max())
+    codes, codes_b = (np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), np.uint32) for x in (a, b))
+    seen = np.zeros(int(max(codes.max(), codes_b.max())) + 1, bool)
+    seen[codes] = True
+    number = np.where(seen, np.cumsum(seen), 0)  # 0 is in no a
+    kinds = int(seen.sum()) + 2
+    own = np.arange(n)[:, None] * kinds
+    before = m - sizes
+    to = before + sizes_b
+    most = int(to.max())
+
+    def placed(numbers: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((n, width), np.int64)
+        out[np.arange(width) < before[:, None]] = kinds - 1
+        out.ravel()[expand(np.arange(n) * width + before, lengths)] = numbers
+        out += own
+        return np.ascontiguousarray(out.T)
+
+    blocks = (m + 63) // 64
+    where = np.zeros((blocks, n * kinds), np.uint64)
+    for i, chars in enumerate(placed(number[codes], sizes, m)):
+        where[i >> 6][chars] |= U(1 << (i & 63))
+    where, base = where.ravel(), np.arange(blocks)[:, None] * (n * kinds)
+    chars = np.ascontiguousarray(placed(number[codes_b], sizes_b, most)[::-1])
+    up, down = np.full((blocks, n), ~U(0)), np.zeros((blocks, n), np.uint64)
+    # row w + 1: whether the last row of block w went up or down; above the first one it goes up
+    both = np.zeros((2, blocks + 1, n), np.uint64)
+    plus, minus = both
+    plus[0] = 1
+    work, index = np.zeros((5, blocks, n), np.uint64), np.zeros((blocks, n), np.int64)
+    top, end, last, held = np.array(63, np.uint64), np.array((m - 1) & 63, np.uint64), min(blocks - 1, band // 64), -1
+    score, who, ok, low = np.full(n, min(m, 64 * last + 64)), np.arange(n), np.zeros(n, bool), int(to.min())
+    for t in range(1, most + blocks):
+        lo, hi = max(0, -((band + 64 - t) // 65), t - most), min(blocks - 1, (t + band - 1) // 65, t - 1)
+        if hi > last:
+            score += (minus[hi] - plus[hi]).view(np.int64) + (min(m, 64 * hi + 64) - 64 * hi)
+            last = hi
+        if lo and lo == held:  # the block above has ended
+            plus[lo], minus[lo] = 1, 0
+        held = lo
+        u, d = up[lo : hi + 1], down[lo : hi + 1]
+        room = work[:, : hi + 1 - lo]
+        xh, eq, hp, hn, xv = room
+        shifted, rows = room[:2], room[2:4]
+        at = index[: hi + 1 - lo]
+        np.add(chars[most - t + lo : most - t + hi + 1], base[lo : hi + 1], out=at)
+        where.take(at, out=eq, mode="clip")
+        np.bitwise_or(eq, d, out=xv)
+        np.bitwise_or(eq, minus[lo : hi + 1], out=eq)
+        np.bitwise_and(eq, u, out=xh)
+        np.add(xh, u, out=xh)
+        np.bitwise_xor(xh, u, out=xh)
+        np.bitwise_or(xh, eq, out=xh)
+        np.bitwise_or(xh, u, out=hp)
+        np.invert(hp, out=hp)
+        np.bitwise_or(hp, d, out=hp)
+        np.bitwise_and(u, xh, out=hn)
+        if hi == last == blocks - 1:
+            score += (hp[-1] >> end & U(1)).view(np.int64)
+            score -= (hn[-1] >> end & U(1)).view(np.int64)
+            if t - last >= low:
+                done = to == t - last
+                ok[who[done]] = score[done] <= limits[done]
+        np.add(rows, rows, out=shifted)
+        np.bitwise_or(shifted, both[:, lo : hi + 1], out=shifted)
+        np.right_shift(rows, top, out=both[:, lo + 1 : hi + 2])
+        np.bitwise_or(xv, xh, out=u)
+        np.invert(u, out=u)
+        np.bitwise_or(u, eq, out=u)
+        np.bitwise_and(xh, xv, out=d)
+        if hi == last < blocks - 1:
+            score += plus[hi + 1].view(np.int64)
+            score -= minus[hi + 1].view(np.int64)
+        if t % 32 or hi < last or t - last >= low:
+            continue
+        # every alignment passes one of the step's places, or one beside them; those of a block are below its last row's by the rows that go up
+        lower, known = score + 1, score
+        for w in range(hi, lo - 1, -1):
+            ups, downs = up[w], down[w]
+            if w == blocks - 1:
+                inside = U((2 << ((m - 1) & 63)) - 1)
+                ups, downs = ups & inside, downs & inside
+            ups, downs = np.bitwise_count(ups).astype(np.int64), np.bitwise_count(downs)
+            np.minimum(lower, known - ups, out=lower)
+            known = known - ups + downs + plus[w].view(np.int64) - minus[w].view(np.int64)
+        open_ = lower - 1 <= limits
+        n = int(np.count_nonzero(open_))
+        if not n:
+            break
+        if n < 0.9 * len(open_):
+            score, who, to, limits = score[open_], who[open_], to[open_], limits[open_]
+            up, down, chars, both = up[:, open_], down[:, open_], chars[:, open_], np.ascontiguousarray(both[:, :, open_])
+            plus, minus = both
+            work, index, low = np.zeros((5, blocks, n), np.uint64), np.zeros((blocks, n), np.int64), int(to.min())
+    return ok
+
+
+def all_similar(one: list[str], two: list[str], similarity: float = SIMILARITY, likely: bool = True) -> np.ndarray:
+    """similar() of each pair; likely tells whether most pairs are, which decides what is tried first."""
+    ok, todo = np.zeros(len(one), bool), []
+    for k, (a, b) in enumerate(zip(one, two)):
+        limit = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+        if abs(len(a) - len(b)) > limit:
+            continue
+        if likely and distance_at_most(a, b) <= limit:
+            ok[k] = True
+            continue
+        lo = _common(a, b)
+        a, b = a[lo:], b[lo:]
+        end = _common(a[::-1], b[::-1])
+        a, b = a[: len(a) - end], b[: len(b) - end]
+        if max(len(a), len(b)) <= limit:
+            ok[k] = True
+        elif a and b and limit:
+            todo.append((k, limit, a, b) if len(a) >= len(b) else (k, limit, b, a))
+    todo.sort(key=lambda x: len(x[2]))
+    while todo:
+        # the longest, and what isn't much shorter, or somewhat if these are few; a few pairs, or pairs of so many characters that tables are large, one by one
+        m = len(todo[-1][2])
+        blocks = min(m, 2 * max(x[1] for x in todo[-_TOGETHER:])) // 64 + 2
+        some = [x for k, x in enumerate(todo[-_TOGETHER:][::-1]) if len(x[2]) * (5 if k * blocks >= _TOGETHER else 10) >= m * 4 - 64][::-1]
+        kinds = len(set().union(*(x[2] for x in some))) + 2
+        some = some[-max(1, _TABLE // (m * (kinds // 8 + 16))) :]
+        del todo[-len(some) :]
+        if len(some) < 16:
+            for k, limit, a, b in some:
+                ok[k] = levenshtein_within(a, b, limit)
+        else:
+            ks, limits, a, b = zip(*some)
+            ok[list(ks)] = _measured(a, b, np.array(limits))
+    return ok
+
+
 def normalise(line: bytes) -> str:
     """line in lower case already."""
     return b" ".join(line.translate(_JOIN_WORDS).split()).decode("utf-8", "replace")
@@ -286,14 +430,28 @@ def candidates(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILA
     a minimum spanning forest of the close ones by SimHash distance."""
 
     def sent(batches):
+        met: set[int] = set()  # lines whose records went already
         for batch in batches:
             for p in vectext.pieces(batch.column(0), _PIECE):
                 breaks = np.flatnonzero(p.data == 10)
                 line = p.row + np.searchsorted(breaks, p.start)  # ascends by rows and by breaks
                 if not len(line):
                     continue
-                h, who, lines_, chars, fives = keys(p, line, similarity)
                 n_lines = p.n_rows + len(breaks)
+                whole = _whole(p, line, n_lines)
+                new = np.zeros(n_lines, bool)
+                for k, lh in zip(starts_of(line).tolist(), whole[line[starts_of(line)]].tolist()):
+                    if lh not in met:
+                        met.add(lh)
+                        new[line[k]] = True
+                if len(met) > _MET:
+                    met.clear()
+                fresh = new[line]
+                if not fresh.any():
+                    continue
+                if not fresh.all():
+                    p, line = replace(p, row=p.row[fresh], start=p.start[fresh], end=p.end[fresh], hash=p.hash[fresh]), line[fresh]
+                h, who, lines_, chars, fives = keys(p, line, similarity)
                 use = np.bincount(line, minlength=n_lines)[line] >= min_words
                 print_ = vectext.simhash(vectext.mix(p.hash[use], 22), line[use], n_lines)
                 there = np.zeros(n_lines, bool)
@@ -301,7 +459,7 @@ def candidates(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILA
                 h, who = h[there[who]], who[there[who]]
                 out = np.zeros(len(h), _PRINT)
                 own = np.searchsorted(lines_, who)
-                out["key"], out["lh"], out["size"] = h, _whole(p, line, n_lines)[who], np.minimum(chars[own], 65535)
+                out["key"], out["lh"], out["size"] = h, whole[who], np.minimum(chars[own], 65535)
                 out["sh"], out["sh5"] = print_[who], fives[own]
                 yield out
 
@@ -376,26 +534,36 @@ def _still_apart(members: DataFrame, groups: DataFrame, radius: int, similarity:
     return met.mapInArrow(run, "lh long, mate long").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, likely: bool = True) -> DataFrame:
     """Edges (a, b) of the pairs (lh, mate) that are similar."""
 
     def run(batches):
-        for batch in batches:
-            one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = pa.array([similar(a, b, similarity) for a, b in zip(one, two)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+        held, rows, size = [], 0, 0
+        for batch in chain(batches, [None]):
+            if held and (batch is None or rows >= 8 * _TOGETHER or size >= _TABLE):
+                t = pa.Table.from_batches(held).combine_chunks()
+                ok = pa.array(all_similar(t.column(2).to_pylist(), t.column(3).to_pylist(), similarity, likely))
+                yield from t.select([0, 1]).filter(ok).rename_columns(["a", "b"]).to_batches()
+                held, rows, size = [], 0, 0
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+                rows, size = rows + batch.num_rows, size + batch.nbytes
 
     left, right = texts.select(F.col("lh").alias("k1"), F.col("line").alias("one")), texts.select(F.col("lh").alias("k2"), F.col("line").alias("two"))
     # by the second line first: a line that is the first of many pairs then carries its text last
     both = pairs.join(right, F.col("mate") == F.col("k2")).join(left, F.col("lh") == F.col("k1"))
-    return both.select("lh", "mate", "one", "two").mapInArrow(run, "a long, b long")
+    # pairs of about one length meet, in more tasks where there are more partitions
+    n = scratch.n_parts(pairs.sparkSession)
+    length = F.floor(3 * F.log2(F.greatest(F.length("one"), F.length("two")) + 1))
+    met = both.select("lh", "mate", "one", "two").repartition(n, length, F.pmod(F.xxhash64("lh", "mate"), F.lit(max(1, n // 8))))
+    return met.mapInArrow(run, "a long, b long")
 
 
 def decisions(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, sig, line_no, kept, leader_doc_id, leader_line_no) of every line."""
     every = scratch.table(lines(docs, min_words))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "sig")
-    kinds = scratch.table(every.where("lh is not null").groupBy("lh", "check").agg(F.min(order).alias("first")))
+    kinds = scratch.table(every.where("lh is not null").groupBy("lh", "check").agg(F.min(order).alias("first"), F.count("*").alias("n")))
     told = scratch.table(candidates(docs, radius, similarity, min_words))
     pairs = scratch.table(told.where("key is null").select("lh", "mate").distinct())
     members = told.where("key is not null")
@@ -419,10 +587,11 @@ def decisions(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILAR
     texts = scratch.table(held.mapInArrow(fetch, "lh long, line string").groupBy("lh").agg(F.any_value("line").alias("line")))
     linked = scratch.table(_verified(pairs, texts, similarity))
     more = _still_apart(members, connected(linked), radius, similarity).join(pairs, ["lh", "mate"], "left_anti")
-    teams = scratch.table(connected(linked.unionByName(_verified(more, texts, similarity))).select(F.col("node").alias("lh2"), F.col("root").alias("team")))
+    teams = scratch.table(connected(linked.unionByName(_verified(more, texts, similarity, False))).select(F.col("node").alias("lh2"), F.col("root").alias("team")))
     led = kinds.join(teams, F.col("lh") == F.col("lh2")).groupBy("team").agg(F.min("first").alias("lead"))
     teams = teams.join(led, "team").select("lh2", "lead")
-    leaders = kinds.join(teams, F.col("lh") == F.col("lh2"), "left").select(F.col("lh").alias("k1"), F.col("check").alias("k2"), F.coalesce("lead", "first").alias("lead"))
+    leaders = kinds.join(teams, F.col("lh") == F.col("lh2"), "left").select(F.col("lh").alias("k1"), F.col("check").alias("k2"), F.coalesce("lead", "first").alias("lead"), "n", F.col("lh2").isNotNull().alias("in_team"))
+    leaders = leaders.where("n > 1 or in_team").drop("n", "in_team")  # any other line leads itself
     own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "sig")
     joined = every.join(leaders, (F.col("lh") == F.col("k1")) & (F.col("check") == F.col("k2")), "left").withColumn("lead", F.coalesce("lead", own))
     same = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("line_no") == F.col("lead.line_no")) & (F.col("sig") == F.col("lead.sig"))

@@ -335,6 +335,35 @@ def test_edit_distance():
             assert line_dedup.levenshtein_within(a, b, limit) == (slow(a, b) <= limit)
 
 
+def test_pairs_measured_at_once_equal_plain_edit_distance():
+    rng = random.Random(12)
+
+    def slow(a, b):
+        row = np.arange(len(b) + 1)
+        for x in a:  # the least of what comes from above, then what comes from the left
+            new = np.minimum(row + 1, np.append(row[0] + 1, row[:-1] + np.array([x != y for y in b], int)))
+            row = np.minimum.accumulate(new - np.arange(len(b) + 1)) + np.arange(len(b) + 1)
+        return int(row[-1])
+
+    one, two = ["", "a", "abcd", "abcd"], ["", "", "abcd", "abce"]
+    for _ in range(400):
+        a = rng.choices("abcdeé漢𝒳 ", k=rng.choice((rng.randint(1, 70), rng.randint(60, 300))))
+        b = list(a)
+        for _ in range(int(len(a) * rng.uniform(0, 0.7))):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 1)] = rng.choice(("", "a", "b", "ż"))
+        one.append("".join(a))
+        two.append("".join(b))
+    far = [slow(a, b) for a, b in zip(one, two)]
+    assert len({len(a) for a in one}) > 100
+    for similarity in (1.0, 0.98, 0.8, 0.5):
+        want = [d <= int(max(len(a), len(b)) * (1 - similarity) + 1e-9) for a, b, d in zip(one, two, far)]
+        assert 2 < sum(want) < len(want)
+        for likely in (True, False):
+            assert line_dedup.all_similar(one, two, similarity, likely).tolist() == want
+    assert line_dedup.all_similar([], []).tolist() == []
+
+
 # --- 8
 
 
