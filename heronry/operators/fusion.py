@@ -2,34 +2,46 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
+from heronry.functions import text as T
+from heronry.operators.best import UNIT, Best, units
 from heronry.operators.lexical import Index, top
 from heronry.operators.lexical import search as bm25_search
 
 RRF_K, DENSE_K, BM25_K, POOL, K = 60, 50, 50, 30, 8
-#: vectors in a block of the block-nested join
+#: vectors in a block
 BLOCK = 2048
+#: queries that are broadcast, at most; queries of a group, at most; numbers of the products that are measured at a time
+FEW, GROUP, PRODUCTS = 4096, 32_768, 1 << 21
+
+
+def _width(df: DataFrame) -> type:
+    return np.float32 if df.schema["vector"].dataType.elementType == FloatType() else np.float64
 
 
 def _blocks(df: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(scope, ids, ords, vectors) of rows (scope, id, ord, vector): as many as size a row, vectors as doubles in bytes."""
+    """(scope, ids, ords, vectors) of rows (scope, id, ord, vector): as many as size a row, vectors in bytes, as wide as they come."""
+    width = _width(df)
 
     def pack(batches):
         for batch in batches:
             scope, ids, ords, vectors = batch.columns
-            kinds = scope.dictionary_encode()
+            kinds = scope.dictionary_encode(null_encoding="encode")
             codes = kinds.indices.to_numpy(zero_copy_only=False)
             for code in range(len(kinds.dictionary)):
                 every = np.flatnonzero(codes == code)
                 for at in range(0, len(every), size):
                     take = pa.array(every[at : at + size])
-                    flat = vectors.take(take).flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+                    flat = vectors.take(take).flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(width)
                     ends = pa.array([0, len(take)], pa.int32())
                     yield pa.RecordBatch.from_arrays([kinds.dictionary.slice(code, 1), pa.ListArray.from_arrays(ends, ids.take(take)), pa.ListArray.from_arrays(ends, ords.take(take)), pa.array([flat.tobytes()], pa.binary())], ["scope", "ids", "ords", "vectors"])
 
@@ -37,48 +49,129 @@ def _blocks(df: DataFrame, size: int = BLOCK) -> DataFrame:
     return df.select("scope", "id", "ord", "vector").where("vector is not null").mapInArrow(pack, f"scope {kind['scope']}, ids array<{kind['id']}>, ords array<{kind['ord']}>, vectors binary")
 
 
-def _places(values: pa.Array) -> np.ndarray:
-    """The place of each value in order; structs are ordered by their fields."""
-    fields = values.flatten() if pa.types.is_struct(values.type) else [values]
-    order = pc.sort_indices(pa.table({str(k): f for k, f in enumerate(fields)}), [(str(k), "ascending") for k in range(len(fields))]).to_numpy()
-    out = np.empty(len(order), np.int64)
-    out[order] = np.arange(len(order))
-    return out
-
-
-def dense(records: DataFrame, queries: DataFrame, k: int = DENSE_K, scoped: bool = False) -> DataFrame:
+def _normed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Norms in double precision, and single vectors of length 1; of length 0 where there is none."""
+    norm = np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64))
+    unit = np.divide(v, norm[:, None], out=np.zeros(v.shape), where=norm[:, None] > 0)
+    return norm, np.nan_to_num(unit, nan=0.0, posinf=0.0, neginf=0.0).astype(np.float32)
+
+
+class _Nearest:
+    """The k nearest records of queries given as blocks (scope, ids, vectors), while blocks of records go by. Products of
+    single vectors leave out what can't be among the k best; what is left is measured in double precision."""
+
+    def __init__(self, blocks: list[tuple], k: int) -> None:
+        coded = pa.concat_arrays([ids for _, ids, _ in blocks]).dictionary_encode(null_encoding="encode")
+        numbers, self.ids, self.k, self.sides = coded.indices.to_numpy().astype(np.int64), coded.dictionary, k, {}
+        self.best, first = Best(len(self.ids), k), 0
+        for scope, ids, v in blocks:
+            self.sides.setdefault(scope, []).append((numbers[first : first + len(ids)], v, *_normed(v)))
+            first += len(ids)
+
+    def meet(self, scope, ids: pa.Array, ords: pa.Array, a: np.ndarray) -> None:
+        if scope not in self.sides:
+            return
+        best, n, (a_norm, a_unit) = self.best, len(ids), _normed(a)
+        slack = (a.shape[1] + 8) * 2.0**-22
+        for numbers, v, v_norm, unit in self.sides[scope]:
+            sims = unit @ a_unit.T
+            floor = best.floor[numbers]
+            bar = np.where(floor < -UNIT, -2.0, (floor - 0.5) / UNIT - slack).astype(np.float32)
+            ok = sims >= bar[:, None]
+            if n > self.k and np.count_nonzero(ok) > 4 * self.k * len(numbers):
+                # k records of the block are this near; rounded scores differ from products by half a unit and the slack
+                kth = np.partition(sims, n - self.k, axis=1)[:, n - self.k]
+                ok = sims >= np.maximum(bar, kth - np.float32(2 * slack + 1.01 / UNIT))[:, None]
+            cell = np.flatnonzero(ok)
+            for at in range(0, len(cell), step := max(1, PRODUCTS // a.shape[1])):
+                q, r = np.divmod(cell[at : at + step], n)
+                norm = v_norm[q] * a_norm[r]
+                score = units(np.divide(np.einsum("ij,ij->i", v[q], a[r], dtype=np.float64), norm, out=np.zeros_like(norm), where=norm > 0))
+                keep = score >= best.floor[numbers[q]]
+                best.offer(numbers[q[keep]], r[keep], score[keep], ids, ords)
+
+
+def _array(batch: pa.RecordBatch, column: int, row: int, width: type, n: int) -> np.ndarray:
+    return np.frombuffer(batch.column(column)[row].as_buffer(), width).reshape(n, -1)
+
+
+def dense(records: DataFrame, queries: DataFrame, k: int = DENSE_K, scoped: bool = False, few: int = FEW) -> DataFrame:
     """(query_id, id, score, rank): the exact k nearest of records (id, ord, embedding) to queries (query_id,
     vector) by cosine, to 4 decimals, ties by ord. With scoped, only records of the query's scope.
 
-    Both sides are packed into blocks of vectors; blocks meet in a nested join (Spark broadcasts the smaller side
-    while it is small) and are multiplied as matrices. Of each pair of blocks a query's k best go on."""
+    Both sides are packed into blocks of vectors, which are multiplied as matrices; a task keeps the k best of each of its
+    queries. A few queries (their number is checked) are broadcast to the records. More are cut into groups by a hash of query_id,
+    of GROUP queries at most; records are sent to the tasks of each group, several where there are fewer groups than cores.
+    Where one task has all records of a group, its k best are the result, in order."""
     scope = F.col("scope") if scoped else F.lit(0)
-    r = _blocks(records.select(scope.alias("scope"), "id", (F.col("ord") if "ord" in records.columns else F.col("id")).alias("ord"), F.col("embedding").alias("vector")))
-    q = _blocks(queries.select(scope.alias("scope"), F.col("query_id").alias("id"), F.col("query_id").alias("ord"), "vector")).select(F.col("scope").alias("q_scope"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    pairs = r.join(q, F.col("scope").eqNullSafe(F.col("q_scope"))) if scoped else r.crossJoin(q)
-    kind = {"query_id": queries.schema["query_id"].dataType.simpleString(), "id": records.schema["id"].dataType.simpleString()}
-    order_kind = records.schema["ord" if "ord" in records.columns else "id"].dataType.simpleString()
-
-    def normed(raw, n: int) -> tuple[np.ndarray, np.ndarray]:
-        v = np.frombuffer(raw, np.float64).reshape(n, -1)
-        return v, np.sqrt((v * v).sum(axis=1))
-
-    def multiply(batches):
+    r_rows = records.select(scope.alias("scope"), "id", (F.col("ord") if "ord" in records.columns else F.col("id")).alias("ord"), F.col("embedding").alias("vector"))
+    q_rows = queries.select(scope.alias("scope"), F.col("query_id").alias("id"), F.col("query_id").alias("ord"), "vector")
+    r_width, q_width = _width(r_rows), _width(q_rows)
+    kind = {"query_id": queries.schema["query_id"].dataType.simpleString(), "id": r_rows.schema["id"].dataType.simpleString(), "ord": r_rows.schema["ord"].dataType.simpleString(), "score": "double", "rank": "long"}
+    names, shape = list(kind), ", ".join(f"{c} {t}" for c, t in kind.items())
+
+    def pairs(batches):
+        held: dict[int, _Nearest] = {}
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, ords, q_ids = (batch.column(c)[row].values for c in (0, 1, 3))
-                (a, a_norm), (b, b_norm) = normed(batch.column(2)[row].as_buffer(), len(ids)), normed(batch.column(4)[row].as_buffer(), len(q_ids))
-                norm = b_norm[:, None] * a_norm[None, :]
-                sims = np.floor(np.divide(b @ a.T, norm, out=np.zeros_like(norm), where=norm > 0) * 1e4 + 0.5).astype(np.int64)
-                # rounded scores and places in one integer: the k smallest are the k best
-                key = -sims * (len(ids) + 1) + _places(ords)[None, :]
-                near = np.argpartition(key, min(k, len(ids)) - 1, axis=1)[:, : min(k, len(ids))]
-                which = np.repeat(np.arange(len(q_ids)), near.shape[1])
-                take = pa.array(near.ravel())
-                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(which)), ids.take(take), ords.take(take), pa.array(sims[which, near.ravel()] / 1e4)], ["query_id", "id", "ord", "score"])
-
-    met = pairs.select("ids", "ords", "vectors", "q_ids", "q_vectors").mapInArrow(multiply, f"query_id {kind['query_id']}, id {kind['id']}, ord {order_kind}, score double")
-    return top(met, k, F.desc("score"), F.col("ord"), F.col("id")).select("query_id", "id", "score", "rank")
+                ids, ords, q_ids = (batch.column(c)[row].values for c in (0, 1, 4))
+                if (key := batch.column(3)[row].as_py()) not in held:
+                    held[key] = _Nearest([(0, q_ids, _array(batch, 5, row, q_width, len(q_ids)))], k)
+                held[key].meet(0, ids, ords, _array(batch, 2, row, r_width, len(ids)))
+        for near in held.values():
+            yield from near.best.batches(near.ids, names)
+
+    def groups(batches):
+        blocks, near = [], None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                scope, q_ids, ids, ords = batch.column(1)[row].as_py(), *(batch.column(c)[row].values for c in (2, 3, 4))
+                if not batch.column(0)[row].as_py():
+                    blocks.append((scope, q_ids, _array(batch, 5, row, q_width, len(q_ids))))
+                elif blocks:
+                    near = near or _Nearest(blocks, k)
+                    near.meet(scope, ids, ords, _array(batch, 5, row, r_width, len(ids)))
+        if near is not None:
+            yield from near.best.batches(near.ids, names)
+
+    r = _blocks(r_rows)
+    if (n := queries.count()) <= few:
+        q = _blocks(q_rows).select(F.col("scope").alias("q_scope"), F.monotonically_increasing_id().alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+        met = r.join(F.broadcast(q), F.col("scope").eqNullSafe(F.col("q_scope"))) if scoped else r.crossJoin(F.broadcast(q))
+        found, slices = met.select("ids", "ords", "vectors", "block", "q_ids", "q_vectors").mapInArrow(pairs, shape), 0
+    else:
+        tasks = 2 * records.sparkSession.sparkContext.defaultParallelism
+        cut = -(-n // min(max(-(-n // tasks), GROUP // 4), GROUP))
+        slices = -(-tasks // cut)
+        group = lambda c: F.pmod(F.xxhash64(c), F.lit(cut)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        q = _blocks(q_rows.repartitionById(cut, group("id"))).withColumn("slice", each(slices)).withColumn("part", group(F.col("ids")[0]) * slices + F.col("slice"))
+        q = q.select("part", F.lit(False).alias("record"), "scope", F.col("ids").alias("q_ids"), F.lit(None).cast(r.schema["ids"].dataType).alias("ids"), F.lit(None).cast(r.schema["ords"].dataType).alias("ords"), "vectors")
+        r = r.withColumn("group", each(cut)).withColumn("part", F.col("group") * slices + F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
+        r = r.select("part", F.lit(True).alias("record"), "scope", F.lit(None).cast(q.schema["q_ids"].dataType).alias("q_ids"), "ids", "ords", "vectors")
+        met = q.unionByName(r).repartitionById(cut * slices, F.col("part")).sortWithinPartitions("record")
+        found = met.select("record", "scope", "q_ids", "ids", "ords", "vectors").mapInArrow(groups, shape)
+    if slices != 1:
+        found = top(found.drop("rank"), k, F.desc("score"), F.col("ord"), F.col("id"))
+    return found.select("query_id", "id", "score", "rank")
+
+
+def hashed(records: DataFrame, dim: int = 128) -> DataFrame:
+    """(id, embedding) of records (id, text): as functions.text.hashed_vector() by md5, but each distinct token of a batch is hashed once."""
+
+    def spread(batches):
+        for batch in batches:
+            tokens = batch.column(1)
+            n, coded = len(tokens), tokens.flatten().dictionary_encode()
+            slots = np.array([int(md5(t.encode()).hexdigest()[:8], 16) % dim for t in coded.dictionary.to_pylist()], np.int64)
+            sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+            out = np.zeros((n, dim), np.float32)
+            out[np.repeat(np.arange(n), sizes), slots[coded.indices.to_numpy()]] = 1
+            out[sizes == 0] = 1e-6
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], ["id", "embedding"])
+
+    return records.select("id", T.tokens(F.col("text"))).mapInArrow(spread, f"id {records.schema['id'].dataType.simpleString()}, embedding array<float>")
 
 
 def rankings(**lists: DataFrame) -> DataFrame:

@@ -225,9 +225,8 @@ def hashed_embedding(spark, sf_dir):
 
 def _hybrid(spark, sf_dir, **how):
     records = _records(spark, sf_dir)
-    vector = lambda c: T.hashed_vector(F.col(c), hashed="md5")
-    asked = _questions(spark, sf_dir)
-    return fusion.hybrid(records.select("id", vector("text").alias("embedding")), lexical.build(records), asked.withColumn("vector", vector("query")), **how)
+    asked = _questions(spark, sf_dir).withColumn("vector", T.hashed_vector(F.col("query"), hashed="md5"))
+    return fusion.hybrid(fusion.hashed(records), lexical.build(records), asked, **how)
 
 
 _SLOT = "('0x' || substr(md5(term), 1, 8))::BIGINT % 128"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,11 +64,11 @@ class Retrieval:
         version = self.store.version()
         if self._held is None or self._held[0] != version:
             if self._held is not None:
-                for df in (self._held[1], self._held[2].postings, self._held[2].totals):
+                for df in (self._held[1], self._held[2].documents):
                     df.unpersist()
             records = self.store.records().select(F.col("chunk_id").alias("id"), F.struct("doc_id", "index").alias("ord"), F.col("doc_id").alias("scope"), "doc_id", "chunk_id", "embed_text", "text", "context", "section", "pages", "embedding").persist()
             index = lexical.build(records.select("id", "ord", F.col("embed_text").alias("text")))
-            self._held = version, records, lexical.Index(index.postings.persist(), index.terms, index.totals.persist(), index.scoped)
+            self._held = version, records, replace(index, documents=index.documents.persist())
         return self._held[1], self._held[2]
 
     def _queries(self, query: str | DataFrame) -> DataFrame:
