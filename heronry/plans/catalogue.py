@@ -271,10 +271,19 @@ def _pool(spark, sf_dir):
     return hits.select("query_id", "id", F.col("score").alias("bm25"), "rank")
 
 
+#: hits that are broadcast to texts, at most
+_HITS = 1_000_000
+
+
+def _to_texts(hits: DataFrame, asked: DataFrame, k: int, most: int = _HITS) -> DataFrame:
+    """hits, of which each question has k at most, as they are joined with texts: these stay where they are read while hits are few."""
+    return F.broadcast(hits) if asked.limit(most // k + 1).count() * k <= most else hits
+
+
 @query(f"WITH {_RANKED} SELECT query_id, string_agg('[' || rank || '] ' || substr(text, 1, 350), chr(10) ORDER BY rank) AS listing FROM bm JOIN documents ON doc_id = id WHERE rank < 30 GROUP BY query_id")
 def rerank_listing(spark, sf_dir):
-    texts = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("embed_text"))
-    return rerank.listings(_pool(spark, sf_dir).join(texts, "id"))
+    texts = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.substring("text", 1, rerank.SNIPPET).alias("embed_text"))
+    return rerank.listings(_to_texts(_pool(spark, sf_dir), _questions(spark, sf_dir), fusion.POOL).join(texts, "id"))
 
 
 @query(f"""WITH {_RANKED},
@@ -500,7 +509,7 @@ def citation(spark, sf_dir):
 SELECT item_id AS query_id, '{answer.RULES.replace("'", "''")}' || chr(10) || chr(10) || 'Sources:' || chr(10) || blocks || chr(10) || chr(10) || 'Question: ' || text AS prompt FROM benchmark LEFT JOIN s ON query_id = item_id""")
 def answer_prompt(spark, sf_dir):
     asked = _questions(spark, sf_dir)
-    hits = _pool(spark, sf_dir).where("rank < 6")
+    hits = _to_texts(_pool(spark, sf_dir).where("rank < 6"), asked, 6)
     chunks = _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.array().cast("array<int>").alias("pages"), "text")
     return answer.prompts(asked, answer.sources(hits, chunks)).select("query_id", "prompt")
 

@@ -101,3 +101,16 @@ def test_dense_in_groups_of_queries(spark, scoped):
             own = [i for i in range(700) if not scoped or i % 5 == k % 5]
             want = sorted(own, key=lambda i: (-sims[k, i], i))[:12]
             assert [s for _, s in got[k]] == [sims[k, i] for i in want] and [i for i, _ in got[k]] == want
+
+
+@pytest.mark.parametrize("name", ["rerank_listing", "answer_prompt"])
+def test_texts_of_hits_are_not_shuffled(spark, name):
+    from heronry.plans import catalogue
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        by = shuffles(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert by and "id" not in by and "chunk_id" not in by and "doc_id" not in by
